@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Distinct words whose hash one worker remembers before it starts anew.
 MEMO_WORDS = 400_000
@@ -129,3 +130,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
 def as_bytes(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+#: Keys of rows that go which may be broadcast (16 bytes each); beyond, a shuffle join takes them out.
+BROADCAST_ROWS = 1_000_000
+
+
+def without(docs: DataFrame, goes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without the rows named in goes: (id, row), where row is the hash of the text."""
+    goes = written(goes.distinct(), "goes").select(F.col("id").alias("go_id_"), F.col("row").alias("go_row_"))
+    if goes.count() <= BROADCAST_ROWS:
+        goes = F.broadcast(goes)
+    return docs.join(goes, docs[id_col].eqNullSafe(F.col("go_id_")) & (F.xxhash64(docs[text_col]) == F.col("go_row_")), "left_anti")
