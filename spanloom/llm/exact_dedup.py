@@ -24,10 +24,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, new_path, written
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+from .common import discard, new_path, without, written
+
+#: State on disk; without space set aside in advance, of which each of many partitions would hold megabytes.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 #: Inbox files folded in one micro-batch.
 FILES_PER_BATCH = 4096
 #: Digests that may be broadcast (as 8-byte hashes) to find the rows whose bytes are compared; beyond, a shuffle join does it.
@@ -41,7 +45,7 @@ def sha256(text: Column) -> Column:
 def _located(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
     """(doc_id, text, loc): loc names the file and row that hold the content. Also a table to discard, if one was needed."""
     loc = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-    pick = lambda df, i, t: df.select(df[i].alias("doc_id"), F.coalesce(df[t], F.lit("")).alias("text"), loc.alias("loc"))
+    pick = lambda df, i, t: df.select(df[i].alias("doc_id"), F.coalesce(df[t], F.lit("")).alias("text"), F.xxhash64(df[t]).alias("row"), loc.alias("loc"))
     try:
         return pick(docs, id_col, text_col), None
     except AnalysisException:  # not a plain scan: give it files of its own
@@ -51,8 +55,9 @@ def _located(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
 
 def _fold(inbox: str, schema, state: str, groups: str, spark) -> DataFrame:
     """Run the stream over what is new in the inbox; the latest row of each digest."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         stream = (
             spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(inbox)
@@ -64,7 +69,8 @@ def _fold(inbox: str, schema, state: str, groups: str, spark) -> DataFrame:
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     kind = f"digest string, keep struct<doc_id:{dict(schema_types(schema))['doc_id']},loc:string>, group_size bigint, batch bigint"
     # counts only grow, so the largest is the latest
     return spark.read.schema(kind).parquet(groups).groupBy("digest").agg(F.max_by(F.struct("keep", "group_size"), "group_size").alias("g")).select("digest", "g.*")
@@ -74,8 +80,8 @@ def schema_types(schema) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in schema.fields]
 
 
-def decisions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", state_dir: str | None = None, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """One row per document of this call: doc_id, loc, keep_id, group_size, kept, text_sha256.
+def decisions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", state_dir: str | None = None, digest: Callable[[Column], Column] = sha256, row: bool = False) -> DataFrame:
+    """One row per document of this call: doc_id, loc, keep_id, group_size, kept, text_sha256, and with ``row`` the text's hash.
 
     With a ``state_dir`` of an earlier call, groups include all documents of earlier calls.
     """
@@ -83,12 +89,13 @@ def decisions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     here, own = _located(docs, id_col, text_col)
     base = state_dir or new_path(spark, "dedup")
     inbox, state, groups_at = f"{base}/inbox", f"{base}/state", f"{base}/groups"
-    slim = here.select("doc_id", "loc", digest(F.col("text")).alias("digest"), F.sha2("text", 256).alias("text_sha256"))
+    more = ["row"] if row else []
+    slim = here.select("doc_id", "loc", *more, digest(F.col("text")).alias("digest"), F.sha2("text", 256).alias("text_sha256"))
     arrived = written(slim, "dedup-arrived")
     arrived.select("digest", "doc_id", "loc").write.mode("append").parquet(inbox)
     schema = arrived.select("digest", "doc_id", "loc").schema
     if not any(True for _ in arrived.take(1)):
-        return arrived.select("doc_id", "loc", F.col("doc_id").alias("keep_id"), F.lit(0).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+        return arrived.select("doc_id", "loc", F.col("doc_id").alias("keep_id"), F.lit(0).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", *more)
     groups = written(_fold(inbox, schema, state, groups_at, spark), "dedup-groups")
     out = arrived.join(groups, "digest")
     if _differing(here, groups, digest):
@@ -96,7 +103,7 @@ def decisions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         out = out.withColumns({"keep": F.coalesce("keep", "keep0"), "group_size": F.coalesce("group_size", "size0")})
     if own is not None:
         discard(own)
-    return out.select("doc_id", "loc", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("loc") == F.col("keep.loc")).alias("kept"), "text_sha256")
+    return out.select("doc_id", "loc", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("loc") == F.col("keep.loc")).alias("kept"), "text_sha256", *more)
 
 
 def _hits(here: DataFrame, groups: DataFrame, digest) -> DataFrame:
@@ -129,18 +136,17 @@ def _by_bytes(here: DataFrame, groups: DataFrame, digest) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that stay, with all their columns: one of each group of equal texts.
+    """The rows of docs that stay, with all their columns: one of each group of equal texts, the one with the largest id.
 
-    Kept rows are found by id and digest; of repeated rows with one id and text a single one stays.
+    Null and empty texts are equal to each other. Of rows with one id and text a single one stays.
     """
-    kept = decisions(docs, id_col=id_col, text_col=text_col, **how).where("kept").select(F.col("doc_id").alias("kept_id_"), F.col("text_sha256").alias("kept_sha_"))
-    key = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
-    rows = docs.join(kept, docs[id_col].eqNullSafe(F.col("kept_id_")) & (key == F.col("kept_sha_")), "left_semi")
-    again = decided_twice(rows, id_col, text_col)
-    return rows if not again else rows.dropDuplicates([id_col, text_col])
-
-
-def decided_twice(rows: DataFrame, id_col: str, text_col: str) -> bool:
-    """Whether some id and text stand in more than one row."""
-    key = F.sha2(F.coalesce(rows[text_col], F.lit("")), 256)
-    return bool(rows.groupBy(rows[id_col].alias("i"), key.alias("k")).count().where("count > 1").take(1))
+    judged = decisions(docs, id_col=id_col, text_col=text_col, row=True, **how).select(F.col("doc_id").alias("id"), "row", "kept")
+    keys = judged.where("not kept").select("id", "row")
+    # a repeated row has the key of the row that stays
+    twice = written(judged.groupBy("id", "row").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).where("n > 1 and kept").select("id", "row"), "dedup-twice")
+    if not twice.take(1):
+        return without(docs, keys, id_col, text_col)
+    again = twice.select(F.col("id").alias("t_id_"), F.col("row").alias("t_row_"))
+    hit = docs[id_col].eqNullSafe(F.col("t_id_")) & (F.xxhash64(docs[text_col]) == F.col("t_row_"))
+    once = docs.join(again, hit, "left_semi").dropDuplicates([id_col, text_col])
+    return without(docs.join(again, hit, "left_anti"), keys, id_col, text_col).unionByName(once)
