@@ -34,7 +34,7 @@ from .common import slices
 WORD = 1.0
 DEFAULT = -1.0
 #: A tag loses SCALE words for each unit of log-odds by which it is more frequent outside content, and MOST at most.
-SCALE, MOST = 4.0, 10.0
+SCALE, MOST = 1.0, 5.0
 INSIDE = 0.05
 #: Pages from which weights are counted.
 LABELLED_PAGES = 2_000
@@ -118,13 +118,15 @@ def blocks(html: str) -> list[Block]:
                     inside = inside or name in ("article", "main")
                     stack.append((name, out, inside))
             else:
+                if block:  # the end belongs to what it ends
+                    turn(name)
                 k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
                 if k >= 0:
                     del stack[k:]
                     out, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            if block:
+            if block and not end:
                 turn(name)
-            else:
+            elif not block:
                 found[-1].tags.append(name)
                 if name == "br":
                     found[-1].parts.append(" ")
