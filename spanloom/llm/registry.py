@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_main, jaccard_join, mixing, toxicity, url_filter
+from . import decontaminate, exact_dedup, html_main, jaccard_join, license_scan, mixing, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_main.extract(pages).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
@@ -52,6 +56,9 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+SQL["op2_license_scan"] = license_scan.oracle()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
