@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_main, jaccard_join, license_scan, mixing, pii, toxicity, url_filter
+from . import brown_lm, decontaminate, exact_dedup, html_main, jaccard_join, license_scan, mixing, pii, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score_all(table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
