@@ -1,0 +1,5 @@
+"""Streams: FASTA files that arrive in a folder (see sources.fasta.stream). The library has no other streaming operators."""
+
+from spanloom.sources.fasta import stream
+
+__all__ = ["stream"]
