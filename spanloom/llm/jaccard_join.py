@@ -17,11 +17,19 @@ Pivots that are whole documents tell nothing at first: almost all pairs of texts
    signature of the projection. A point with shingles in too few classes is dealt again with another
    seed, until it has enough; of a linked pair, both points are dealt with the first seed that is
    enough for either, so they meet.
-3. Regions are joined recursively: documents of the region become pivots, all members get their exact
-   distance to each, links are taken, and the rest is dealt to the Voronoi region of its nearest pivot;
-   a point is replicated into every region whose pivot is within 2 tau of its nearest one. A region
-   ends when all its members are in one component or fewer than two are left. Where replication
-   would not make regions smaller, the rest stays one region, smaller by its pivots.
+   Shingles found in several documents of a sample are common; a first dealing leaves them out of all
+   points (that is a projection, too), so texts that share a passage and little else don't meet. Points
+   with too little left are dealt again with all their shingles. The sample decides speed alone.
+3. Regions that overlap form a family. A family that one task can hold is joined there: each point is
+   a pivot for the points in the window of its size; their coordinates (counts of shingles in COORDINATES
+   classes, whose L1 distance is at most the symmetric difference) exclude most, and sets decide.
+   Larger families are joined recursively by all tasks: each point takes as its home the pivot with which
+   it shares most regions, which settles near copies; in what is left, documents of a region become
+   pivots, and all members are held against them as above. The rest is dealt to the Voronoi region of its
+   nearest pivot in these coordinates, and a point is replicated into every region whose pivot is within
+   twice its largest possible difference of the nearest one. A region ends when all its members are in
+   one component or fewer than two are left. Where replication would not make regions smaller, the rest
+   stays one region, smaller by its pivots.
 
 Copies never meet as pairs: equal sets are one point, and a region of near copies is one star around
 a pivot. Signatures are combined in each map task before they are dealt out, so a signature that a
@@ -42,7 +50,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, as_bytes, discard, mix, ngram_hashes, slices, space_words, without, word_hashes, written
@@ -59,7 +67,16 @@ COMBINE_SIGNATURES = 2_000_000
 #: Bytes of signatures in one row of the shuffle.
 ROW_BYTES = 1 << 18
 #: Documents of a region that become pivots at once.
-PIVOTS = 6
+PIVOTS = 32
+#: Classes whose counts are a point's coordinates.
+COORDINATES = 256
+#: Documents, chosen by a hash of their text, in which common shingles are looked for, and in how many they must be.
+SAMPLE, COMMON = 12_000, 2
+#: Common shingles are kept as a bitmap of 2^BITS bits; others that fall on a set bit count as common, too.
+BITS = 24
+MOST_COMMON = 1 << 20
+#: Points and bytes of shingles of a family that one task joins.
+LOCAL_POINTS, LOCAL_BYTES = 4_096, 48_000_000
 #: Keys (8 bytes each) that may be broadcast to pick out the sets of candidates; beyond, a shuffle join does it.
 BROADCAST_KEYS = 2_000_000
 _MAX_ROUNDS = 10_000
@@ -105,10 +122,14 @@ class Rings:
         # no difference: only equal points link, and they are one already
         return [x for x in out if x[2]]
 
-    def signatures(self, points: np.ndarray) -> np.ndarray:
+    def signatures(self, whole: np.ndarray, common: np.ndarray) -> np.ndarray:
         out = []
-        for ring, k, most in self.of(len(points)):
+        rare = whole[common[whole >> np.uint64(64 - BITS)] == 0]
+        for ring, k, most in self.of(len(whole)):
             for seed in range(1 << 20):
+                points = whole if seed else rare
+                if len(points) == 0:
+                    continue
                 salt = np.uint64(((ring + 1) << 32) + seed)
                 cls = (mix(points + salt) % np.uint64(k)).astype(np.uint16 if k < 1 << 16 else np.uint32)
                 order = np.argsort(cls, kind="stable")
@@ -146,9 +167,36 @@ def _combined(sig: np.ndarray, point: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return sig, point, flag
 
 
-def _signatures(docs: DataFrame, text_col: str, n: int, rings: Rings, buckets: int) -> DataFrame:
+def _common(docs: DataFrame, text_col: str, n: int, rows: int, sample: int) -> np.ndarray:
+    """Bitmap of the shingles that several of the sampled documents have; 1 MB at most comes to the driver."""
+    every = max(1, rows // sample)
+    some = docs.select(text_col).where(F.pmod(F.xxhash64(text_col, F.lit(5)), F.lit(every)) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, seen = Memo(), set()
+        for b in slices(batches):
+            sets = []
+            for t in as_bytes(b.column(0)):
+                s = shingle_set(t, memo, n)
+                if len(s) and (d := digest(s)) not in seen:
+                    seen.add(d)
+                    sets.append(s)
+            if sets:
+                h, k = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k.astype(np.int64))], names=["h", "k"])
+
+    found = some.mapInArrow(run, "h bigint, k bigint").groupBy("h").agg(F.sum("k").alias("k")).where(F.col("k") >= COMMON)
+    bits = found.select(F.shiftrightunsigned("h", 64 - BITS).cast("int").alias("bit"), "k").orderBy(F.desc("k"), "bit").limit(MOST_COMMON).select("bit").toArrow()
+    out = np.zeros(1 << BITS, dtype=np.uint8)
+    out[bits.column(0).to_numpy()] = 1
+    return np.packbits(out)
+
+
+def _signatures(docs: DataFrame, text_col: str, n: int, rings: Rings, buckets: int, common: np.ndarray) -> DataFrame:
     """Signatures in packed rows (bucket, data); heads are dealt by signature, followers evenly."""
 
+    held_common = docs.sparkSession.sparkContext.broadcast(common)
+
     def pack(sig: list[np.ndarray], point: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not sig:
             return
@@ -169,13 +217,14 @@ def _signatures(docs: DataFrame, text_col: str, n: int, rings: Rings, buckets: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, seen, sig, point, held = Memo(), set(), [], [], 0
+        common = np.unpackbits(held_common.value)
         for b in slices(batches):
             for t in as_bytes(b.column(0)):
                 s = shingle_set(t, memo, n)
                 if not len(s) or (d := digest(s)) in seen:
                     continue
                 seen.add(d)
-                x = rings.signatures(s)
+                x = rings.signatures(s, common)
                 sig.append(x)
                 point.append(np.full(len(x), d, dtype=np.int64))
                 held += len(x)
@@ -230,7 +279,7 @@ def _regions(packed: DataFrame, buckets: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, text_col: str, n: int, points: DataFrame) -> DataFrame:
-    """(point, n, data): the sets of the given points."""
+    """(point, n, at, data): size, coordinates and shingles of the given points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, seen = Memo(), set()
@@ -240,25 +289,47 @@ def _sets(docs: DataFrame, text_col: str, n: int, points: DataFrame) -> DataFram
                 s = shingle_set(t, memo, n)
                 if len(s) and (d := digest(s)) not in seen:
                     seen.add(d)
-                    rows.append((d, len(s), s.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["point", "n", "data"])
+                    at = np.bincount((s % np.uint64(COORDINATES)).astype(np.int64), minlength=COORDINATES)
+                    rows.append((d, len(s), np.minimum(at, 255).astype(np.uint8).tobytes(), s.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["point", "n", "at", "data"])
 
-    every = docs.select(text_col).mapInArrow(run, "point bigint, n bigint, data binary")
+    every = docs.select(text_col).mapInArrow(run, "point bigint, n bigint, at binary, data binary")
     if points.count() <= BROADCAST_KEYS:
         points = F.broadcast(points)
     return every.join(points, "point", "left_semi").dropDuplicates(["point"])
 
 
-def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(point, pivot, both, any): sizes of intersection and union."""
+def _apart(pairs: DataFrame, sets: DataFrame, rings: Rings) -> DataFrame:
+    """(point, pivot, d, most, maybe): L1 distance of the coordinates, the point's largest difference to anything it links with, and whether a link is possible."""
+    here = sets.select("point", F.col("n").alias("n0"), F.col("at").alias("at0"))
+    there = sets.select(F.col("point").alias("pivot"), F.col("n").alias("n1"), F.col("at").alias("at1"))
+    rows = pairs.join(here, "point").join(there, "pivot").select("point", "pivot", "n0", "n1", "at0", "at1")
+    num, den = rings.num, rings.den
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 4000):
+            if not b.num_rows:
+                continue
+            n0, n1 = b.column(2).to_numpy(), b.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, COORDINATES).astype(np.int16) for k in (4, 5))
+            d = np.abs(x - y).sum(axis=1, dtype=np.int64)
+            maybe = (d <= (n0 + n1) * (den - num) // (den + num)) & (den * np.minimum(n0, n1) >= num * np.maximum(n0, n1))
+            most = (n0 + n0 * den // num) * (den - num) // (den + num)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d), pa.array(most), pa.array(maybe)], names=["point", "pivot", "d", "most", "maybe"])
+
+    return rows.mapInArrow(run, "point bigint, pivot bigint, d bigint, most bigint, maybe boolean")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) for the pairs (point, pivot) whose sets link."""
     rows = (
-        pairs.join(sets.select("point", F.col("data").alias("x")), "point")
+        pairs.select("point", "pivot").join(sets.select("point", F.col("data").alias("x")), "point")
         .join(sets.select(F.col("point").alias("pivot"), F.col("data").alias("y")), "pivot").select("point", "pivot", "x", "y")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 500):
-            both, any_ = [], []
+            keep = []
             last, y = None, None
             for q, x, z in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if q != last:
@@ -266,92 +337,215 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 x = np.frombuffer(x, np.uint64)
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
-                both.append(k := int(np.count_nonzero(y[at] == x)))
-                any_.append(len(x) + len(y) - k)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(both, pa.int64()), pa.array(any_, pa.int64())], names=["point", "pivot", "both", "any"])
+                both = int(np.count_nonzero(y[at] == x))
+                keep.append(den * both >= num * (len(x) + len(y) - both))
+            k = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(k), b.column(1).filter(k)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "point bigint, pivot bigint, both bigint, any bigint")
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, label): the smallest node that each node of an edge can reach. Labels spread to neighbours and jump along labels."""
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    e = written(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "cc-edges")
-    lab = written(e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")), "cc-labels")
+    """(node, label): the smallest node that each node of an edge can reach.
+
+    In each round nodes take the label of their smallest neighbour and of its label; then labels become the
+    nodes and only edges between different labels are left, so rounds get smaller fast.
+    """
+    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    # a node's edges to others become edges of these to the smallest of them
+    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    e = e.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v")
+    e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-edges")
+    total = None
     while True:
-        near = e.join(lab.select(F.col("node").alias("v"), F.col("label").alias("l")), "v").groupBy(F.col("u").alias("node")).agg(F.min("l").alias("m"))
-        step = lab.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        lab = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label"))
+        lab = written(lab, "cc-labels")
         to = lab.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = written(step.join(to, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "cc-labels")
-        done = not new.where("old <> label").take(1)
+        jumped = written(lab.join(to, "label").select("node", F.col("further").alias("label")), "cc-labels")
         discard(lab)
-        if done:
+        if total is None:
+            new = jumped
+        else:
+            new = written(total.join(jumped.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", "left").select("node", F.coalesce("further", "label").alias("label")), "cc-total")
+            discard(total)
+        left = e.join(jumped.select(F.col("node").alias("u"), F.col("label").alias("lu")), "u").join(jumped.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v").where("lu <> lv")
+        left = written(left.select(F.greatest("lu", "lv").alias("u"), F.least("lu", "lv").alias("v")).distinct(), "cc-edges")
+        discard(e)
+        total, e = new, left
+        if not e.take(1):
             discard(e)
-            return new.select("node", "label")
-        lab = new
-
-
-def _joined(regions: DataFrame, sets: DataFrame, num: int, den: int, pivots: int) -> DataFrame | None:
-    """(node, label) of all points that have a link; regions: (region, point, pivot), without equal ones."""
-    spark = regions.sparkSession
-    linked = F.expr(f"{den} * both >= {num} * any")
-    tau2 = 2 * (1 - num / den) + 1e-9
-    # first the star around each point's smallest pivot, which settles near copies
-    home = regions.groupBy("point").agg(F.min("pivot").alias("pivot")).where("pivot < point")
-    links = written(_distances(home, sets).where(linked).select(F.col("point").alias("a"), F.col("pivot").alias("b")), "links")
+            return total
+
+
+def _families(regions: DataFrame, family: DataFrame, labels: DataFrame) -> DataFrame:
+    """(region, point) where links may be missing.
+
+    A family is taken as one region where that makes fewer pairs than its regions have together, as it
+    mostly does: they overlap. Families that are one component are done.
+    """
+    sizes = regions.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("pivot").alias("pivot"))
+    apart = sizes.join(family.withColumnRenamed("point", "pivot"), "pivot").groupBy("family").agg(F.sum(F.col("m") * F.col("m")).cast("double").alias("apart"))
+    known = family.join(labels.withColumnRenamed("node", "point"), "point", "left").withColumn("label", F.coalesce("label", "point"))
+    whole = known.groupBy("family").agg(F.count(F.lit(1)).cast("double").alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").join(apart, "family")
+    whole = whole.select("family", (F.col("m") * F.col("m") <= F.col("apart")).alias("whole"))
+    of = family.join(whole, "family")
+    one = of.where("whole").select(F.xxhash64("family", F.lit("family")).alias("region"), "point")
+    return one.unionByName(regions.join(of.where("not whole").select("point"), "point").select("region", "point"))
+
+
+def _grown(links: DataFrame, new: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """links with the new ones, and their components."""
+    if not new.take(1):
+        return links, labels
+    more = written(links.unionByName(new), "links")
+    discard(links, new)
+    return more, components(more)
+
+
+def _local(points: DataFrame, rings: Rings) -> DataFrame:
+    """(node, label) within families that a task can hold; points: (family, point, n, at, data).
+
+    The same join without further regions: each point in turn is the pivot for all larger ones within
+    the window of sizes that aren't in its component yet; coordinates exclude, then sets decide.
+    """
+    num, den = rings.num, rings.den
+
+    def joined(point: list[int], n: list[int], at: list[bytes], data: list[bytes]) -> Iterator[tuple[int, int]]:
+        order = np.lexsort((np.array(point), np.array(n)))
+        size = np.array(n)[order]
+        x = np.frombuffer(b"".join(at), np.uint8).reshape(-1, COORDINATES)[order].astype(np.int16)
+        sets = [np.frombuffer(data[i], np.uint64) for i in order]
+        of = np.arange(len(order))
+        for i in range(len(order) - 1):
+            end = int(np.searchsorted(size * num, size[i] * den, "right"))
+            others = np.arange(i + 1, end)
+            others = others[of[others] != of[i]]
+            if not len(others):
+                continue
+            apart = np.abs(x[others] - x[i]).sum(axis=1, dtype=np.int64)
+            for j in others[apart <= (size[others] + size[i]) * (den - num) // (den + num)]:
+                if of[j] == of[i]:
+                    continue
+                p = np.searchsorted(sets[j], sets[i])
+                p[p == len(sets[j])] = 0
+                both = int(np.count_nonzero(sets[j][p] == sets[i]))
+                if den * both >= num * (int(size[i]) + int(size[j]) - both):
+                    of[of == of[j]] = of[i]
+        names = np.array(point)[order]
+        for k in np.unique(of):
+            own = names[of == k]
+            if len(own) > 1:
+                least = int(own.min())
+                yield from ((int(q), least) for q in own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, ([], [], [], [])
+        found: list[tuple[int, int]] = []
+        for b in slices(batches, 500):
+            for f, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if f != at:
+                    if len(held[0]) > 1:
+                        found += joined(*held)
+                    at, held = f, ([], [], [], [])
+                for h, v in zip(held, row, strict=True):
+                    h.append(v)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int64())], names=["node", "label"])
+                found = []
+        if len(held[0]) > 1:
+            found += joined(*held)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int64())], names=["node", "label"])
+
+    rows = points.select("family", "point", "n", "at", "data").repartition("family").sortWithinPartitions("family")
+    return rows.mapInArrow(run, "node bigint, label bigint")
+
+
+def _joined(regions: DataFrame, sets: DataFrame, rings: Rings, pivots: int, local_bytes: int, local_points: int) -> DataFrame:
+    """(node, label) of all points that have a link; regions: (region, point, pivot, times), without equal ones.
+
+    All points that regions connect are a family. A family that a task can hold is joined there; others
+    are joined by all tasks together.
+    """
+    edges = regions.where("pivot < point").select(F.col("point").alias("a"), F.col("pivot").alias("b"))
+    family = components(edges).select(F.col("node").alias("point"), F.col("label").alias("family"))
+    sizes = family.join(sets.select("point", "n"), "point").groupBy("family").agg(F.count(F.lit(1)).alias("m"), (F.sum("n") * 8).alias("bytes"))
+    sizes = sizes.select("family", F.expr(f"m <= {local_points} and bytes <= {local_bytes}").alias("small"))
+    sized = written(family.join(sizes, "family"), "join-families")
+    labels = written(_local(sets.join(sized.where("small").select("point", "family"), "point"), rings), "join-local")
+    large = sized.where("not small").select("point", "family")
+    if not large.take(1):
+        return labels
+    return labels.unionByName(_spread(regions.join(large.select("point"), "point", "left_semi"), large, sets, rings, pivots))
+
+
+def _spread(regions: DataFrame, family: DataFrame, sets: DataFrame, rings: Rings, pivots: int) -> DataFrame:
+    """(node, label) of all points that have a link, in rounds over all regions at once."""
+    num, den = rings.num, rings.den
+    # first the star around the pivot that each point shares most regions with
+    near = regions.where("pivot < point").groupBy("point", "pivot").agg(F.sum("times").alias("times"))
+    home = written(near.groupBy("point").agg(F.max_by("pivot", F.struct("times", "pivot")).alias("pivot")), "join-home")
+    links = written(_links(_apart(home, sets, rings).where("maybe"), sets, num, den), "links")
     labels = components(links)
-    active = regions.select("region", "point")
-    held: list[DataFrame] = []
+    active = written(_families(regions, family, labels), "join-active")
+    held: list[DataFrame] = [home, active]
+    asked, held_asked = None, []
     for round_ in range(_MAX_ROUNDS):
         rows = active.join(labels.withColumnRenamed("node", "point"), "point", "left").select("region", "point", F.coalesce("label", "point").alias("label"))
         rows = written(rows, "join-active")
-        picks = [F.min(F.struct(F.xxhash64("point", F.lit(round_ * pivots + i)).alias("h"), "point")).alias(f"p{i}") for i in range(pivots)]
-        some = rows.groupBy("region").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), *picks).where("l0 <> l1")
-        some = written(some.select("region", F.explode(F.array_distinct(F.array(*[F.col(f"p{i}.point") for i in range(pivots)]))).alias("pivot")), "join-pivots")
+        # pivots come from the smallest components: once they are gone, a region is often one component
+        sizes = rows.groupBy("region", "label").agg(F.count(F.lit(1)).alias("size"))
+        open_ = sizes.groupBy("region").agg(F.count(F.lit(1)).alias("labels")).where("labels > 1").select("region")
+        line = Window.partitionBy("region").orderBy("size", F.xxhash64("point"), "point")
+        some = rows.join(open_, "region").join(sizes, ["region", "label"]).withColumn("place", F.row_number().over(line)).where(F.col("place") <= pivots)
+        some = written(some.select("region", F.col("point").alias("pivot"), F.col("label").alias("of")), "join-pivots")
         if not some.take(1):
-            discard(rows, some, *held)
+            discard(rows, some, *held, *held_asked)
             return labels
         met = rows.join(some, "region").where("point <> pivot")
-        pairs = met.select("point", "pivot").distinct()
-        dist = written(_distances(pairs, sets), "join-distances")
-        new = dist.where(linked).select(F.col("point").alias("a"), F.col("pivot").alias("b"))
-        if new.take(1):
-            more = written(links.unionByName(new), "links")
-            discard(links)
-            links = more
-            labels = components(links)
-        rest = met.join(some.withColumnRenamed("pivot", "point"), ["region", "point"], "left_anti").join(dist, ["point", "pivot"])
-        d = F.expr("1 - both / any")
-        rest = rest.select("region", "point", "pivot", d.alias("d"))
-        rest = rest.join(rest.groupBy("region", "point").agg(F.min("d").alias("least")), ["region", "point"]).withColumn("in_", (F.col("d") <= F.col("least") + tau2).cast("int"))
+        pairs = met.groupBy("point", "pivot").agg(F.max(F.col("label") != F.col("of")).alias("open"))
+        apart = written(_apart(pairs, sets, rings), "join-apart")
+        # only pairs of different components can matter, and each of them once
+        ask = apart.where("maybe").join(pairs.where("open"), ["point", "pivot"], "left_semi")
+        ask = ask.select(F.greatest("point", "pivot").alias("point"), F.least("point", "pivot").alias("pivot")).distinct()
+        ask = written(ask.join(asked, ["point", "pivot"], "left_anti") if asked else ask, "join-asked")
+        if ask.take(1):
+            new = written(_links(ask, sets, num, den), "links")
+            links, labels = _grown(links, new, labels)
+            asked = asked.unionByName(ask) if asked else ask
+            held_asked.append(ask)
+        rest = met.select("region", "point", "pivot").join(some.select("region", F.col("pivot").alias("point")), ["region", "point"], "left_anti").join(apart, ["point", "pivot"])
+        rest = rest.select("region", "point", "pivot", "d", "most")
+        rest = rest.join(rest.groupBy("region", "point").agg(F.min("d").alias("least")), ["region", "point"]).withColumn("in_", F.expr("cast(d <= least + 2 * most as int)"))
         # replicate to Voronoi regions only where that leaves less than the plain rest
         gain = rest.groupBy("region").agg(F.sum("in_").alias("copies"), F.countDistinct("point").alias("points"))
-        rest = rest.join(gain, "region")
+        rest = rest.join(gain.where("points > 1"), "region")
         cells = rest.where("in_ = 1 and 2 * copies <= 3 * points").select(F.xxhash64("region", "pivot", F.lit(round_)).alias("region"), "point")
         whole = rest.where("2 * copies > 3 * points").select("region", "point").distinct()
         left = written(cells.unionByName(whole), "join-left")
-        discard(rows, some, dist, *held)
+        discard(rows, some, apart, *held)
         held, active = [left], left
     raise RuntimeError("the regions did not get smaller")
 
 
-def clusters(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, num: int = NUM, den: int = DEN, pivots: int = PIVOTS) -> DataFrame:
+def clusters(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, num: int = NUM, den: int = DEN, pivots: int = PIVOTS, local_points: int = LOCAL_POINTS, local_bytes: int = LOCAL_BYTES) -> DataFrame:
     """One row per document: doc_id, row (hash of its text), n_shingles, component_id."""
     rings = Rings(num, den)
     slim = written(_slim(docs, id_col, text_col, n), "join-slim")
     total = slim.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(1, int(total * 0.5) // BUCKET_SIGNATURES + 1)
     buckets = max(buckets, docs.sparkSession.sparkContext.defaultParallelism)
-    shared = written(_regions(_signatures(docs, text_col, n, rings, buckets), buckets), "join-regions")
+    common = _common(docs, text_col, n, slim.count(), SAMPLE)
+    shared = written(_regions(_signatures(docs, text_col, n, rings, buckets, common), buckets), "join-regions")
     # regions with the same members are one
     marks = shared.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("point").alias("pivot"), F.bit_xor(F.xxhash64("point")).alias("x"), F.bit_xor(F.xxhash64("point", F.lit(7))).alias("y"))
-    one = marks.groupBy("n", "pivot", "x", "y").agg(F.min("region").alias("region")).select("region", "pivot")
+    one = marks.groupBy("n", "pivot", "x", "y").agg(F.min("region").alias("region"), F.count(F.lit(1)).alias("times")).select("region", "pivot", "times")
     regions = written(shared.join(one, "region"), "join-regions1")
     discard(shared)
     labels = None
     if regions.take(1):
         sets = written(_sets(docs, text_col, n, regions.select("point").distinct()), "join-sets")
-        labels = _joined(regions, sets, num, den, pivots)
+        labels = _joined(regions, sets, rings, pivots, local_bytes, local_points)
         discard(sets)
     first = slim.where("point is not null").groupBy("point").agg(F.min("doc_id").alias("least"))
     first = first.withColumn("label", F.col("point")) if labels is None else first.join(labels.withColumnRenamed("node", "point"), "point", "left").withColumn("label", F.coalesce("label", "point"))
