@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Distinct words whose hash one worker remembers before it starts anew.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 #: Rows of an Arrow batch that are worked on at once.
 SLICE_ROWS = 1_000
 
