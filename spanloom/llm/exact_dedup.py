@@ -99,7 +99,7 @@ def decisions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     groups = written(_fold(inbox, schema, state, groups_at, spark), "dedup-groups")
     out = arrived.join(groups, "digest")
     if _differing(here, groups, digest):
-        out = arrived.join(_by_bytes(here, groups, digest), ["digest", "loc"], "left").join(groups.withColumnsRenamed({"keep": "keep0", "group_size": "size0"}), "digest")
+        out = arrived.join(written(_by_bytes(here, groups, digest), "dedup-bytes"), ["digest", "loc"], "left").join(groups.withColumnsRenamed({"keep": "keep0", "group_size": "size0"}), "digest")
         out = out.withColumns({"keep": F.coalesce("keep", "keep0"), "group_size": F.coalesce("group_size", "size0")})
     if own is not None:
         discard(own)
