@@ -15,10 +15,8 @@ from spanloom.functions.kernels import exact_run, longest_around
 from spanloom.functions.sequences import blocks, kmers, mismatches, reverse_complement
 
 from .intervals import merged
-from .tiling import KEYS
+from .tiling import KEYS, pieces
 
-#: Letters of a sequence that one row of the seed join scans.
-CHUNK = 20_000
 
 
 def block_length(length: int, mismatches_: int, least: int = 1) -> int:
@@ -75,12 +73,11 @@ def covers_full(probes: DataFrame, seqs: DataFrame, length: int, mismatches_: in
     so none is missed. Without mismatches this is an equality join of windows.
     """
     extra = [c for c in ("rc",) if c in seqs.columns]
-    n = F.char_length("seq")
-    at = F.when(n >= length, F.sequence(F.lit(0), n - length)).otherwise(F.array().cast("array<int>"))
     parts = exact_blocks(length, mismatches_)
     tell = lambda i: F.explode(F.array(*[F.struct(F.lit(b).alias("b"), _window(F.col(i), F.lit(a), k).alias("kmer")) for b, (a, k) in enumerate(parts)]))
     index = probes.where(F.char_length("seq") == length).select("probe_id", F.col("seq").alias("probe"), tell("seq").alias("x")).select("probe_id", "probe", "x.b", "x.kmer")
-    wins = seqs.select(*KEYS, *extra, "seq", F.explode(at).alias("start")).select(*KEYS, *extra, "start", _window(F.col("seq"), F.col("start"), length).alias("window"))
+    cut = pieces(seqs.select(*KEYS, *extra, "seq"), length - 1)
+    wins = cut.select(*KEYS, *extra, "from", F.posexplode(kmers(F.col("part"), length)).alias("i", "window")).select(*KEYS, *extra, (F.col("from") + F.col("i")).alias("start"), "window")
     if mismatches_ == 0:
         hit = wins.join(index, F.col("window") == F.col("probe"))
     else:
@@ -113,10 +110,8 @@ def covers_seeded(probes: DataFrame, seqs: DataFrame, index: DataFrame, k: int,
     """
     extra = [c for c in ("rc",) if c in seqs.columns]
     keys = [*KEYS, *extra]
-    n = F.char_length("seq")
-    chunks = seqs.where(n >= k).select(*keys, "seq", F.explode(F.sequence(F.lit(0), n - k, F.lit(CHUNK))).alias("from"))
-    chunks = chunks.select(*keys, "from", F.substring("seq", F.col("from") + 1, F.lit(CHUNK + k - 1)).alias("part"))
-    seeds = chunks.select(*keys, "from", F.posexplode(kmers(F.col("part"), k)).alias("i", "kmer")).select(*keys, (F.col("from") + F.col("i")).alias("i"), "kmer")
+    cut = pieces(seqs.select(*keys, "seq"), k - 1)
+    seeds = cut.select(*keys, "from", F.posexplode(kmers(F.col("part"), k)).alias("i", "kmer")).select(*keys, (F.col("from") + F.col("i")).alias("i"), "kmer")
     found = seeds.join(index, "kmer").select(*keys, "i", "probe_id", "pos").distinct()
     lengths = probes.select("probe_id", F.col("seq").alias("probe"))
     whole = seqs.select(*keys, F.col("seq").alias("whole"))

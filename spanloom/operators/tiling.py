@@ -17,6 +17,20 @@ def starts(length: Column, window: int, stride: int) -> Column:
     return F.when(length >= window, F.sequence(F.lit(0), length - window, F.lit(stride))).otherwise(F.array().cast("array<int>"))
 
 
+def pieces(seqs: DataFrame, overlap: int, sizes: tuple[int, ...] = (20_000, 250)) -> DataFrame:
+    """seqs in pieces (``from``, ``part`` instead of seq) that overlap by so many letters.
+
+    Substrings are found by walking over a text from its start, so windows are cut from short pieces, these from longer ones.
+    """
+    keys = [c for c in seqs.columns if c != "seq"]
+    out = seqs.select(*keys, F.lit(0).alias("from"), F.col("seq").alias("part"))
+    for size in sizes:
+        n = F.char_length("part")
+        at = F.when(n > overlap, F.sequence(F.lit(0), n - overlap - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
+        out = out.select(*keys, "from", "part", F.explode(at).alias("at")).select(*keys, (F.col("from") + F.col("at")).alias("from"), F.substring("part", F.col("at") + 1, F.lit(size + overlap)).alias("part"))
+    return out
+
+
 def run_bounds(seq: Column, letter: str, least: int) -> Column:
     """Array of (s, e) of maximal runs of a letter with at least ``least``."""
     gaps = F.transform(F.split(seq, f"{letter}{{{least},}}", -1), F.char_length)
