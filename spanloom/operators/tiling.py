@@ -55,7 +55,7 @@ def candidates(seqs: DataFrame, window: int, stride: int, *, n_run: int = 2, all
     if allow_small:
         small = small.when((n < allow_small) | F.col("whole").rlike(run), F.raise_error(F.lit("a sequence is too short or has a run of N"))).otherwise(F.col("whole"))
     else:
-        small = small.otherwise(F.raise_error(F.lit("a sequence is shorter than the window")).cast("string"))
+        small = small.when(n <= (skip or 0), F.lit(None).cast("string")).otherwise(F.raise_error(F.lit("a sequence is shorter than the window")).cast("string"))
     at = lambda kind, pos: F.struct(F.lit(kind).alias("kind"), pos.cast("int").alias("pos"))
     strided = F.transform(starts(n, window, stride), lambda i: at(0, i))
     tail = F.when((n >= window) & (n % stride != 0), F.array(at(1, n - window))).otherwise(F.array().cast("array<struct<kind:int,pos:int>>"))
@@ -66,6 +66,8 @@ def candidates(seqs: DataFrame, window: int, stride: int, *, n_run: int = 2, all
         right = F.transform(F.filter(runs, lambda r: r["e"] + window <= n), lambda r: at(2, r["e"]))
         places += [left, right]
     rows = rows.withColumn("small", small)
+    if not allow_small:
+        rows = rows.where(F.col("small").isNull())  # so that short sequences are seen
     whole = rows.where(F.col("small").isNotNull()).select(*KEYS, F.lit(0).alias("kind"), F.lit(0).alias("pos"), F.col("small").alias("seq"))
     tiled = rows.withColumn("p", F.explode(F.concat(*places))).select(*KEYS, "p.kind", "p.pos", F.substring("whole", F.col("p.pos") + 1, F.lit(window)).alias("seq"))
     out = tiled.where(~F.col("seq").rlike(run))
