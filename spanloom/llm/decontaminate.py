@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, alnum_words, as_bytes, ngram_hashes, slices, word_hashes
+from .common import Memo, alnum_words, as_bytes, ngram_hashes, slices, small_batches, word_hashes
 
 GUARANTEE = 10
 K = 5
@@ -147,6 +147,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> Iter
 def find_hits(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = K, guarantee: int = GUARANTEE, block_bytes: int = BLOCK_ITEM_BYTES) -> DataFrame:
     """docs with the struct HIT added as ``hit_``; rows keep all their columns."""
     spark = docs.sparkSession
+    small_batches(spark)
     out = docs
     names = []
     for b, block in enumerate(_blocks(benchmark, item_id, item_text, block_bytes)):

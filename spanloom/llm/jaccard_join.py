@@ -53,7 +53,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, as_bytes, discard, mix, ngram_hashes, slices, space_words, without, word_hashes, written
+from .common import Memo, as_bytes, discard, mix, ngram_hashes, slices, small_batches, space_words, without, word_hashes, written
 
 N = 5
 NUM, DEN = 80, 100
@@ -63,7 +63,7 @@ SPARE = 1.15
 #: Signatures that one reducer sorts at once.
 BUCKET_SIGNATURES = 2_000_000
 #: Signatures that a map task combines before it deals them out.
-COMBINE_SIGNATURES = 2_000_000
+COMBINE_SIGNATURES = 500_000
 #: Bytes of signatures in one row of the shuffle.
 ROW_BYTES = 1 << 18
 #: Documents of a region that become pivots at once.
@@ -530,6 +530,7 @@ def _spread(regions: DataFrame, family: DataFrame, sets: DataFrame, rings: Rings
 
 def clusters(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, num: int = NUM, den: int = DEN, pivots: int = PIVOTS, local_points: int = LOCAL_POINTS, local_bytes: int = LOCAL_BYTES) -> DataFrame:
     """One row per document: doc_id, row (hash of its text), n_shingles, component_id."""
+    small_batches(docs.sparkSession)
     rings = Rings(num, den)
     slim = written(_slim(docs, id_col, text_col, n), "join-slim")
     total = slim.agg(F.sum("n_shingles")).first()[0] or 0
