@@ -5,7 +5,7 @@ probabilities of all earlier categories. While training, these come from models
 folds (out-of-fold), so a later model learns from probabilities as unsure as those it will meet.
 Out-of-fold probabilities of the last pass also set each category's threshold.
 
-Models are fitted on at most TRAIN_ROWS labelled documents, chosen by a hash of their id, and are a
+Models are fitted on at most about TRAIN_ROWS labelled documents, chosen by a hash of their id, and are a
 fixed number of weights; every document is scored on its whole text in one pass without a shuffle.
 
 Features of a text: which of 2^BITS hashed features occur, for each word [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+
@@ -30,9 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MEMO_WORDS, alnum_words, as_bytes, slices
+from .common import alnum_words, as_bytes, slices, small_batches, without, written
 
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 10_000
+#: Words whose features one worker remembers.
+MEMO_WORDS = 100_000
+#: Occurrences that are added up at once.
+CHUNK = 1_000_000
 BITS = 20
 PREFIXES = (4, 5, 6, 7)
 FOLDS = 3
@@ -77,13 +81,19 @@ class Rows:
     @classmethod
     def of(cls, rows: Sequence[np.ndarray]) -> Rows:
         at = np.concatenate(rows) if len(rows) else np.empty(0, dtype=np.int32)
-        return cls(at, np.repeat(np.arange(len(rows)), [len(r) for r in rows]), len(rows))
+        return cls(at, np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows]), len(rows))
+
+    def _sums(self, by: np.ndarray, of: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(n)
+        for i in range(0, len(by), CHUNK):
+            out += np.bincount(by[i : i + CHUNK], weights=values[of[i : i + CHUNK]], minlength=n)
+        return out
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=w[self.at], minlength=self.n)
+        return self._sums(self.row, self.at, w, self.n)
 
     def back(self, g: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(self.at, weights=g[self.row], minlength=n)
+        return self._sums(self.at, self.row, g, n)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -100,10 +110,11 @@ def fit(rows: Rows, more: np.ndarray, y: np.ndarray, use: np.ndarray) -> np.ndar
     yes, no = rows.back((y * use).astype(float), n), rows.back(((1 - y) * use).astype(float), n)
     odds = np.log((yes + 1) / (y[use].sum() + 2)) - np.log((no + 1) / ((1 - y[use]).sum() + 2))
     which = np.flatnonzero((yes + no >= LEAST_DOCS) & (np.abs(odds) >= LEAST_ODDS))
-    odds, number = odds[which], np.full(n, -1)
-    number[which] = np.arange(len(which))
+    odds, number = odds[which], np.full(n, -1, dtype=np.int32)
+    number[which] = np.arange(len(which), dtype=np.int32)
     inside = number[rows.at] >= 0
     few = Rows(number[rows.at[inside]], rows.row[inside], rows.n)
+    del number, inside
     weight = np.where(y == 1, 0.5 / y[use].mean(), 0.5 / (1 - y[use].mean())) * use / use.sum()
     m = len(which)
     v = np.zeros(m + k + 1)
@@ -169,11 +180,14 @@ def train(rows: list[np.ndarray], labels: np.ndarray, names: Sequence[str], fold
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", categories: Sequence[tuple[str, str | Column]] = CATEGORIES, train_rows: int = TRAIN_ROWS) -> Chain:
-    """Fit on at most ``train_rows`` labelled documents with the smallest hashes of their ids."""
+    """Fit on at most about ``train_rows`` labelled documents, chosen by a hash of their ids."""
+    small_batches(docs.sparkSession)
     named = [F.coalesce((F.expr(c) if isinstance(c, str) else c).cast("int"), F.lit(0)).alias(f"y{i}") for i, (_, c) in enumerate(categories)]
     rows = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("label_id"), *named).groupBy("label_id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(categories))])
     known = docs.select(F.col(id_col).alias("label_id")).distinct()
-    rows = rows.join(known, "label_id", "left_semi").orderBy(F.xxhash64("label_id"), "label_id").limit(train_rows)
+    rows = written(rows.join(known, "label_id", "left_semi"), "tox-labels")
+    every = -(-rows.count() // train_rows) or 1
+    rows = rows.where(F.pmod(F.xxhash64("label_id"), F.lit(every)) == 0)
     text = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(rows), "label_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,17 +205,19 @@ def fit_chain(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
 
 
 def scored(docs: DataFrame, chain: Chain, *, text_col: str = "text", name: str = "tox_") -> DataFrame:
-    """docs with an array of the categories' probabilities, in the order of the chain."""
-    schema, at = docs.schema, docs.columns.index(text_col)
+    """docs without the text, with an array of the categories' probabilities in the order of the chain."""
+    at = docs.columns.index(text_col)
+    kind = T.StructType([*[f for f in docs.schema.fields if f.name != text_col], T.StructField(name, T.ArrayType(T.DoubleType()))])
     model = docs.sparkSession.sparkContext.broadcast(chain)  # 2^BITS weights for each category
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Features()
         for b in slices(batches):
             p = model.value.scores(Rows.of([features(t, memo) for t in as_bytes(b.column(at))]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(p), pa.list_(pa.float64()))], names=[*b.schema.names, name])
+            rest = [c for i, c in enumerate(b.columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(list(p), pa.list_(pa.float64()))], names=kind.names)
 
-    return docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
+    return docs.mapInArrow(run, kind)
 
 
 def judged(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", categories=CATEGORIES, reject: Sequence[str] = ("toxic",), train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -219,10 +235,9 @@ def judged(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
 def not_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", categories=CATEGORIES, reject: Sequence[str] = ("toxic",), train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The documents that aren't rejected, with all their columns."""
     chain = fit_chain(docs, labels, id_col=id_col, text_col=text_col, categories=categories, train_rows=train_rows)
-    renamed = docs.select([F.col(f"`{c}`").alias(f"c{i}_") for i, c in enumerate(docs.columns)])
-    s = scored(renamed, chain, text_col=f"c{docs.columns.index(text_col)}_")
-    keep = F.lit(True)
+    s = scored(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")), chain)
+    bad = F.lit(False)
     for i, (n, t) in enumerate(zip(chain.names, chain.thresholds, strict=True)):
         if n in reject:
-            keep = keep & (F.col("tox_")[i] < t)
-    return s.where(keep).select([F.col(f"c{i}_").alias(c) for i, c in enumerate(docs.columns)])
+            bad = bad | (F.col("tox_")[i] >= t)
+    return without(docs, s.where(bad).select("id", "row"), id_col, text_col)
