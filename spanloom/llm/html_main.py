@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, small_batches
 
 WORD = 1.0
 DEFAULT = -1.0
 #: A tag loses SCALE words for each unit of log-odds by which it is more frequent outside content, and MOST at most.
 SCALE, MOST = 1.0, 5.0
 INSIDE = 0.05
-#: Pages from which weights are counted.
+#: Pages from which weights are counted: one in so many that about this number is read.
 LABELLED_PAGES = 2_000
 
 # Fixed values of HTML: element kinds.
@@ -168,9 +168,10 @@ def main_text(html: str | None, weights: dict[str, float], default: float = DEFA
 
 
 def fit_weights(pages: DataFrame, *, html_col: str = "html", sample: int = LABELLED_PAGES) -> dict[str, float]:
-    """Tag weights from at most ``sample`` pages with one <article> or <main>, chosen by a hash of the page."""
+    """Tag weights from those of about ``sample`` pages, chosen by a hash of the page, that have one <article> or <main>."""
+    every = max(1, pages.count() // sample)
     one = F.regexp_count(F.lower(html_col), F.lit("<(article|main)[ >]")) == 1
-    some = pages.select(F.col(html_col).alias("html")).where(one).orderBy(F.xxhash64("html"), F.length("html")).limit(sample)
+    some = pages.select(F.col(html_col).alias("html")).where(F.pmod(F.xxhash64(html_col), F.lit(every)) == 0).where(one)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter[tuple[str, bool]] = Counter()
@@ -190,6 +191,7 @@ def fit_weights(pages: DataFrame, *, html_col: str = "html", sample: int = LABEL
 
 def extract(pages: DataFrame, *, html_col: str = "html", name: str = "text", weights: dict[str, float] | None = None) -> DataFrame:
     """pages without its html, with the main text."""
+    small_batches(pages.sparkSession)
     weights = fit_weights(pages, html_col=html_col) if weights is None else weights
     at = pages.columns.index(html_col)
     kind = T.StructType([*[f for f in pages.schema.fields if f.name != html_col], T.StructField(name, T.StringType())])
