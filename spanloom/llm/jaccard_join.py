@@ -61,11 +61,11 @@ RING = 1.5
 #: Classes for each one needed, since some stay empty.
 SPARE = 1.15
 #: Signatures that one reducer sorts at once.
-BUCKET_SIGNATURES = 2_000_000
+BUCKET_SIGNATURES = 400_000
 #: Signatures that a map task combines before it deals them out.
 COMBINE_SIGNATURES = 500_000
 #: Bytes of signatures in one row of the shuffle.
-ROW_BYTES = 1 << 18
+ROW_BYTES = 1 << 17
 #: Documents of a region that become pivots at once.
 PIVOTS = 32
 #: Classes whose counts are a point's coordinates.
