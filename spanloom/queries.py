@@ -146,7 +146,7 @@ def _lines(spark, sf_dir):
 
 
 def interval_merge(spark, sf_dir):
-    return intervals.merged(_lines(spark, sf_dir).where("l_returnflag = 'R' and l_linestatus = 'F' and end % 7 = 0 "), ["l_suppkey"])
+    return intervals.merged(_lines(spark, sf_dir), ["l_suppkey"])
 
 
 def _two(spark, sf_dir):
