@@ -237,7 +237,7 @@ def _signatures(docs: DataFrame, text_col: str, n: int, rings: Rings, buckets: i
 
 
 def _regions(packed: DataFrame, buckets: int) -> DataFrame:
-    """(region, point) for each signature that two points or more have."""
+    """Distinct (region, point) for each signature that two points or more have."""
 
     def shared(data: list[bytes]) -> pa.RecordBatch:
         sizes = [len(d) // 17 for d in data]
@@ -275,7 +275,8 @@ def _regions(packed: DataFrame, buckets: int) -> DataFrame:
         if data:
             yield shared(data)
 
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "region bigint, point bigint")
+    # copies of a text in several map tasks repeat its point, as a head and as a follower
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "region bigint, point bigint").distinct()
 
 
 def _sets(docs: DataFrame, text_col: str, n: int, points: DataFrame) -> DataFrame:
