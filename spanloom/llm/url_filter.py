@@ -1,8 +1,9 @@
 """URL rules and trust propagated over the link graph of hosts, in DataFrame operations only.
 
 Rules (host, path) decide where one fits; the longest wins. All other hosts are judged by their
-links: personalised PageRank walks forward from hosts that allow rules decide (trust) and, over reversed
-edges, from hosts that block rules decide (distrust: who links to blocked hosts is suspect). Hosts whose
+links: personalised PageRank walks forward from hosts with allowed pages (trust) and, over reversed
+edges, from hosts with blocked pages (distrust: who links to blocked hosts is suspect), each by the share
+of its pages that rules of the kind decide. Hosts whose
 distrust is more than LIMIT times their trust are blocked, others allowed.
 
 Edges are counted per pair of hosts before they are shuffled, so a host with a third of all pages
@@ -78,8 +79,8 @@ def personalised(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, dampi
 
 
 def _seeds(hosts: DataFrame, what: str) -> DataFrame | None:
-    """Hosts of which rules of this kind decide half the pages or more, by the share that they decide."""
-    some = hosts.where(2 * F.col(what) >= F.col("pages")).select("host", (F.col(what) / F.col("pages")).alias("w"))
+    """Hosts of which rules of this kind decide any pages, by the share that they decide."""
+    some = hosts.where(F.col(what) > 0).select("host", (F.col(what) / F.col("pages")).alias("w"))
     total = some.agg(F.sum("w")).first()[0]
     return some.select("host", (F.col("w") / total).alias("mass")) if total else None
 
