@@ -2,7 +2,9 @@
 
 Phrases: places where a phrase's words stand consecutively in the text.
 
-Join: a text block is a line; it meets a template if it holds at least NUM/DEN of the template's
+Join: a text block is a line or, with ``wrapped``, also any run of as many words as the longest template
+has, over line ends: a notice may be wrapped. Runs matter only from a template word on, and only in texts that
+hold enough of some template's words at all, so no others are made. A block meets a template if it holds at least NUM/DEN of the template's
 distinct words. Template words are ordered by how many blocks have them, rarest first. A block that
 meets a template of m words with need n has one of the first m - n + 1 of these (prefix filter), has at
 least n template words at all (length filter), and behind the first common word both orders must
@@ -90,6 +92,24 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, vocabulary: Sequence[str
     return lines.select("doc_id", "row", words.alias("words")).where(F.size("words") >= least)
 
 
+def runs(docs: DataFrame, id_col: str, text_col: str, templates: Sequence[tuple[str, str]], num: int, den: int) -> DataFrame:
+    """(doc_id, row, words): the distinct template words of each run of words as long as the longest template, if any template needs no more."""
+    own = [sorted(set(t.split())) for _, t in templates]
+    vocabulary = sorted({w for o in own for w in o})
+    least = min(needed(len(o), num, den) for o in own)
+    length = max(len(t.split()) for _, t in templates)
+    at = F.transform(F.regexp_extract_all(matchable(F.col(text_col)), F.lit(WORD), F.lit(0)), lambda w, i: F.struct(i.alias("i"), w.alias("w")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.filter(at, lambda x: x["w"].isin(vocabulary)).alias("at"))
+    rows = rows.where(F.size("at") >= least).withColumn("held", F.array_distinct(F.transform("at", lambda x: x["w"])))
+    enough = F.lit(False)
+    for o in own:
+        enough = enough | (F.size(F.array_intersect("held", strings(o))) >= needed(len(o), num, den))
+    rows = rows.where(enough)
+    run = lambda x, q: F.array_sort(F.array_distinct(F.transform(F.filter(F.slice("at", q + 1, length), lambda y: y["i"] < x["i"] + length), lambda y: y["w"])))
+    every = F.array_distinct(F.filter(F.transform("at", run), lambda w: F.size(w) >= least))
+    return rows.select("doc_id", "row", F.explode(every).alias("words"))
+
+
 def similar(blocks_: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, row, label, score) of every block and template that meet; score is the share of the template's words."""
     spark = blocks_.sparkSession
@@ -117,11 +137,12 @@ def similar(blocks_: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES
     return hit.withColumn("both", both).where(f"{den} * both >= {num} * m").select("doc_id", "row", "label", (F.col("both") / F.col("m")).alias("score"))
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, num: int = NUM, den: int = DEN) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, num: int = NUM, den: int = DEN, wrapped: bool = False) -> DataFrame:
     """One row per document: id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     vocabulary = sorted({w for _, t in templates for w in t.split()})
     least = min(needed(len(set(t.split())), num, den) for _, t in templates)
-    table = written(blocks(docs, id_col, text_col, vocabulary, least), "license-blocks")
+    table = blocks(docs, id_col, text_col, vocabulary, least)
+    table = written(table.unionByName(runs(docs, id_col, text_col, templates, num, den)) if wrapped else table, "license-blocks")
     found = similar(table, templates, num, den).groupBy("doc_id", "row").agg(F.collect_set("label").alias("more"), F.max("score").alias("score"))
     found = written(found, "license-found")
     discard(table)

@@ -19,7 +19,7 @@ def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents"))
+    return license_scan.scan(table(spark, sf_dir, "documents"), wrapped=True)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
