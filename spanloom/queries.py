@@ -97,8 +97,7 @@ def filter_sample_per_group(spark, sf_dir):
 
 
 def expand_n(spark, sf_dir):
-    few = windows(genomes(spark, sf_dir)).where(F.regexp_count("seq", F.lit("N")) <= 2).select("seq").distinct()
-    return filters.expanded(few, 2).distinct()
+    return filters.expanded(windows(genomes(spark, sf_dir)).select("seq").distinct(), 2).distinct()
 
 
 def probe_identifier(spark, sf_dir):

@@ -8,3 +8,17 @@ def test_interval_merge_takes_all_rows(spark, tmp_path):
     spark.createDataFrame([(s, p, float(q), f, t) for s, p, q, f, t in lines], "l_suppkey long, l_partkey long, l_quantity double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = sorted(map(tuple, queries.interval_merge(spark, str(tmp_path)).collect()))
     assert got == [(1, 10, 23), (1, 40, 42), (2, 0, 7), (2, 998, 1002)]
+
+
+def test_expand_n_takes_windows_with_more_n(spark, tmp_path):
+    texts = ["bbbbbbaaaa" * 3, "abcéefghijabcdefghijabcdéfghij", "éadéadébdéadécdéaddaccabbaccab"]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    wins = [r.seq for r in queries.windows(queries.genomes(spark, str(tmp_path))).collect()]
+    assert sorted(w.count("N") for w in wins) == [0, 2, 6]
+    got = [r.seq for r in queries.expand_n(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) == 1 + 16 + 16 and not any("N" in s for s in got)
+    for w in wins:
+        own = [s for s in got if all(a == b or b == "N" for a, b in zip(s, w, strict=True))]
+        assert len(own) == 4 ** min(2, w.count("N"))
+        letters = [len(set(c)) for c in zip(*own, strict=True)]
+        assert sorted(letters) == [1] * (30 - min(2, w.count("N"))) + [4] * min(2, w.count("N"))
