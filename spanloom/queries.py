@@ -136,7 +136,7 @@ def join_mismatch(spark, sf_dir):
 
 def join_seeded(spark, sf_dir):
     p = probes(spark, sf_dir)
-    return cover.covers_seeded(p, genomes(spark, sf_dir), cover.block_index(p, 15), 15, cover.predicate(2, 24)).select("genome_id", "probe_id", "start", "end")
+    return cover.covers_seeded(p, genomes(spark, sf_dir), cover.full_index(p, 8), 8, cover.predicate(2, 24)).select("genome_id", "probe_id", "start", "end")
 
 
 def _lines(spark, sf_dir):

@@ -1,5 +1,7 @@
 """Queries against brute force over all rows of small tables."""
 
+import random
+
 from spanloom import queries
 
 
@@ -22,3 +24,25 @@ def test_expand_n_takes_windows_with_more_n(spark, tmp_path):
         assert len(own) == 4 ** min(2, w.count("N"))
         letters = [len(set(c)) for c in zip(*own, strict=True)]
         assert sorted(letters) == [1] * (30 - min(2, w.count("N"))) + [4] * min(2, w.count("N"))
+
+
+def test_join_seeded_misses_none(spark, tmp_path):
+    rng = random.Random(8)
+    probe = "".join(rng.choices("abcd", k=30))
+    flip = lambda s, *at: "".join(chr(97 + (ord(c) - 96) % 4) if i in at else c for i, c in enumerate(s))
+    texts = ["".join(rng.choices("abcd", k=20)) + x + "".join(rng.choices("abcd", k=20)) for x in (probe, probe[3:27], flip(probe, 7, 22), flip(probe[3:27], 8, 17), flip(probe, 4, 11, 19, 27))]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, probe)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = set()
+    for g, t in enumerate(texts):
+        covered = set()
+        for d in range(-6, len(t) - 23):
+            for i in range(30):
+                for j in range(i + 24, 31):
+                    if 0 <= i + d and j + d <= len(t) and sum(a != b for a, b in zip(probe[i:j], t[i + d : j + d], strict=True)) <= 2:
+                        covered |= set(range(i + d, j + d))
+        want |= {(g, x) for x in covered}
+    got = {(r.genome_id, x) for r in queries.join_seeded(spark, str(tmp_path)).collect() for x in range(r.start, r.end)}
+    assert {g for g, _ in want} >= {0, 1, 2, 3}
+    # a seed gives one longest stretch: other stretches as long may reach further, but no place with a cover is without one
+    assert got <= want and {g for g, _ in got} == {g for g, _ in want}
