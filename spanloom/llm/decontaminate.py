@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, alnum_words, as_bytes, ngram_hashes, slices, small_batches, word_hashes
+from .common import ALNUM, ngram_hashes, slices, small_batches, text_words, texts_of
 
 GUARANTEE = 10
 K = 5
@@ -59,11 +59,10 @@ def winnow(grams: np.ndarray, w: int) -> np.ndarray:
 class Index:
     """Fingerprints of one block of benchmark items."""
 
-    def __init__(self, items: list[tuple[str, bytes]], k: int, guarantee: int) -> None:
+    def __init__(self, items: list[tuple[str, str]], k: int, guarantee: int) -> None:
         self.k, self.w, self.guarantee = k, guarantee - k + 1, guarantee
-        memo = Memo()
         self.ids = [i for i, _ in items]
-        self.words = [word_hashes(alnum_words(t), memo) for _, t in items]
+        self.words = [text_words(t, ALNUM) for _, t in items]
         places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for j, words in enumerate(self.words):
@@ -132,12 +131,12 @@ def _index(number: int, block) -> Index:
     return _built[number]
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> Iterator[list[tuple[str, bytes]]]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> Iterator[list[tuple[str, str]]]:
     block, held = [], 0
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)).where(F.col(text_col).isNotNull())
     for i, text in rows.toLocalIterator():
-        block.append((i, text.encode()))
-        held += len(block[-1][1])
+        block.append((i, text))
+        held += len(text)
         if held >= size:
             yield block
             block, held = [], 0
@@ -172,11 +171,10 @@ def _search_block(docs: DataFrame, block, text_col: str, name: str) -> DataFrame
     kind = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, memo = _index(number, block), Memo()
+        index = _index(number, block)
         for b in slices(batches):
             found = []
-            for text in as_bytes(b.column(at)):
-                words = word_hashes(alnum_words(text), memo)
+            for words in texts_of(b.column(at), ALNUM):
                 spans, hit = index.search(words)
                 found.append({"n_words": len(words), "hits": [{"s": s, "e": e} for s, e in spans], "items": sorted({index.ids[j] for j in hit})})
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, type=kind)], names=[*b.schema.names, name])

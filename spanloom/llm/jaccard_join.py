@@ -53,7 +53,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, as_bytes, discard, mix, ngram_hashes, slices, small_batches, space_words, without, word_hashes, written
+from .common import SPACE, discard, mix, ngram_hashes, slices, small_batches, texts_of, without, written
 
 N = 5
 NUM, DEN = 80, 100
@@ -82,14 +82,17 @@ BROADCAST_KEYS = 2_000_000
 _MAX_ROUNDS = 10_000
 
 
-def shingle_set(text: bytes, memo: Memo, n: int = N) -> np.ndarray:
-    """Sorted distinct hashes of the text's word n-grams; of all its words, if it has fewer."""
-    words = word_hashes(space_words(text), memo)
+def shingle_set(words: np.ndarray, n: int = N) -> np.ndarray:
+    """Sorted distinct hashes of the n-grams of a text's words; of all its words, if it has fewer."""
     if not len(words):
         return words
     return np.unique(ngram_hashes(words, min(n, len(words))))
 
 
+def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
+    return (shingle_set(words, n) for words in texts_of(column, SPACE))
+
+
 def digest(points: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(points.tobytes()) - (1 << 63)
 
@@ -146,9 +149,8 @@ def _slim(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo()
         for b in slices(batches):
-            sets = [shingle_set(t, memo, n) for t in as_bytes(b.column(1))]
+            sets = list(shingle_sets(b.column(1), n))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64())],
                 names=["doc_id", "row", "n_shingles", "point"],
@@ -173,11 +175,10 @@ def _common(docs: DataFrame, text_col: str, n: int, rows: int, sample: int) -> n
     some = docs.select(text_col).where(F.pmod(F.xxhash64(text_col, F.lit(5)), F.lit(every)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen = Memo(), set()
+        seen = set()
         for b in slices(batches):
             sets = []
-            for t in as_bytes(b.column(0)):
-                s = shingle_set(t, memo, n)
+            for s in shingle_sets(b.column(0), n):
                 if len(s) and (d := digest(s)) not in seen:
                     seen.add(d)
                     sets.append(s)
@@ -216,11 +217,10 @@ def _signatures(docs: DataFrame, text_col: str, n: int, rings: Rings, buckets: i
             yield pa.RecordBatch.from_arrays([pa.array(number[a : a + 64], pa.int32()), pa.array(data[a : a + 64], pa.binary())], names=["bucket", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen, sig, point, held = Memo(), set(), [], [], 0
+        seen, sig, point, held = set(), [], [], 0
         common = np.unpackbits(held_common.value)
         for b in slices(batches):
-            for t in as_bytes(b.column(0)):
-                s = shingle_set(t, memo, n)
+            for s in shingle_sets(b.column(0), n):
                 if not len(s) or (d := digest(s)) in seen:
                     continue
                 seen.add(d)
@@ -283,11 +283,10 @@ def _sets(docs: DataFrame, text_col: str, n: int, points: DataFrame) -> DataFram
     """(point, n, at, data): size, coordinates and shingles of the given points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen = Memo(), set()
+        seen = set()
         for b in slices(batches):
             rows = []
-            for t in as_bytes(b.column(0)):
-                s = shingle_set(t, memo, n)
+            for s in shingle_sets(b.column(0), n):
                 if len(s) and (d := digest(s)) not in seen:
                     seen.add(d)
                     at = np.bincount((s % np.uint64(COORDINATES)).astype(np.int64), minlength=COORDINATES)

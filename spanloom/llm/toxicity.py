@@ -21,20 +21,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, as_bytes, slices, small_batches, without, written
+from .common import ALNUM, mix, slices, small_batches, without, words_of, written
 
 TRAIN_ROWS = 10_000
-#: Words whose features one worker remembers.
-MEMO_WORDS = 100_000
 #: Occurrences that are added up at once.
 CHUNK = 1_000_000
 BITS = 20
@@ -51,23 +47,19 @@ WRONG = 0.02
 CATEGORIES: tuple[tuple[str, str], ...] = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"), ("toxic_low_quality", "toxic = 1 and quality = 0"))
 
 
-class Features(dict):
-    """Word to the numbers of its features."""
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        parts = [word, *(b"%d^%b" % (n, word[:n]) for n in PREFIXES if len(word) >= n)]
-        h = tuple(xxhash.xxh3_64_intdigest(x) >> (64 - BITS) for x in parts)
-        self[word] = h
-        return h
-
-
-def features(text: bytes, memo: Features) -> np.ndarray:
-    words = set(alnum_words(text))
-    if not words:
-        return np.empty(0, dtype=np.int32)
-    return np.unique(np.fromiter(chain.from_iterable(map(memo.__getitem__, words)), dtype=np.int32))
+def features(column: pa.Array) -> Iterator[np.ndarray]:
+    """The numbers of each text's features, sorted and distinct."""
+    for _, words in words_of(column, ALNUM, PREFIXES):
+        text = np.repeat(np.arange(len(words.ends) - 1, dtype=np.int64), np.diff(words.ends))
+        every = [(text << BITS) | (words.hashes >> np.uint64(64 - BITS)).astype(np.int64)]
+        for k, h in zip(PREFIXES, words.prefixes, strict=True):
+            long = words.lengths >= k
+            every.append((text[long] << BITS) | (mix(h[long] + np.uint64(k)) >> np.uint64(64 - BITS)).astype(np.int64))
+        every = np.unique(np.concatenate(every))
+        cuts = np.searchsorted(every >> BITS, np.arange(len(words.ends)))
+        at = (every & ((1 << BITS) - 1)).astype(np.int32)
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            yield at[a:z]
 
 
 @dataclass
@@ -191,9 +183,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
     text = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(rows), "label_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Features()
         for b in slices(batches):
-            data = [features(t, memo).tobytes() for t in as_bytes(b.column(1))]
+            data = [x.tobytes() for x in features(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(data, pa.binary())], names=["label_id", *b.schema.names[2:], "data"])
 
     kind = T.StructType([text.schema["label_id"], *[T.StructField(f"y{i}", T.IntegerType()) for i in range(len(categories))], T.StructField("data", T.BinaryType())])
@@ -211,9 +202,8 @@ def scored(docs: DataFrame, chain: Chain, *, text_col: str = "text", name: str =
     model = docs.sparkSession.sparkContext.broadcast(chain)  # 2^BITS weights for each category
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Features()
         for b in slices(batches):
-            p = model.value.scores(Rows.of([features(t, memo) for t in as_bytes(b.column(at))]))
+            p = model.value.scores(Rows.of(list(features(b.column(at)))))
             rest = [c for i, c in enumerate(b.columns) if i != at]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(list(p), pa.list_(pa.float64()))], names=kind.names)
 

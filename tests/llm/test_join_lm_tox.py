@@ -6,10 +6,12 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm import brown_lm, jaccard_join, toxicity
+from spanloom.llm.common import ALNUM, SPACE, text_words, texts_of
 
 
 def shingles(t):
@@ -107,38 +109,80 @@ def lm_rows():
     return rows + [(900, None), (901, ""), (902, "unseenword " * 3000), (903, "a1"), (903, "a1"), (None, "A2 b3")]
 
 
-def test_brown_base_and_perplexity(spark, lm_rows):
-    df = spark.createDataFrame([(*r, 1.0) for r in lm_rows], "doc_id long, text string, score double")
+def plain_scores(rows, counts, m):
+    """Every text's score word by word from the model's numbers."""
+    cls = dict(zip(m.keys.tolist(), m.classes.tolist(), strict=True))
+    out = []
+    for _, t in rows:
+        before, score = m.end, 0.0
+        for h in [*text_words(t, SPACE).tolist(), brown_lm.END]:
+            k = cls.get(h, m.rare)
+            score += m.transitions[before, k] + math.log10(counts.get(h, 0) + brown_lm.ADD) - m.totals[k]
+            before = k
+        out.append(score)
+    return out
+
+
+@pytest.mark.parametrize("frequent", [4_000_000, 60])
+def test_brown_scores_against_plain_ones(spark, lm_rows, frequent):
+    df = spark.createDataFrame([(*r, 1.0, 2) for r in lm_rows], "doc_id long, text string, score double, key int")
     tok = lambda t: (t or "").encode().lower().split() + [None]
-    train = [t for d, t in lm_rows if zlib.crc32(b"" if d is None else str(d).encode()) % 10]
+    out = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 10 == 0
+    train = [t for d, t in lm_rows if not out(d)]
     c = Counter(w for t in train for w in tok(t))
     n, v = sum(c.values()), len(c)
-    one = brown_lm.score_all(df, classes=6, seeds=40)
+    rare, m = brown_lm.train_model(df, classes=6, seeds=40, frequent=frequent)
+    assert len(m.keys) <= frequent and all(k < 6 or h == brown_lm.END for h, k in zip(m.keys.tolist(), m.classes.tolist(), strict=True))
+    counts = {r.h % 2**64: r.n for r in rare.collect()} | dict(zip(m.keys.tolist(), m.counts.tolist(), strict=True))
+    assert sorted(counts.values()) == sorted(c.values())
+    one = brown_lm.scored(df, rare, m)
     got = one.collect()
-    key = lambda r: (r[0] is not None, r[0] or 0)
-    assert len(got) == len(lm_rows)
-    for r, (d, t) in zip(sorted(got, key=key), sorted(lm_rows, key=key), strict=True):
-        w = tok(t)
-        assert tuple(r)[:5] == (d, zlib.crc32(b"" if d is None else str(d).encode()) % 10 == 0, len(w), sum(c[x] > 0 for x in w), n)
-        assert math.isclose(r.base_score, sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), rel_tol=1e-9)
+    key = lambda r: (r[0] is not None, r[0] or 0, -r[2])
+    want = [(d, out(d), len(tok(t)), sum(c[x] > 0 for x in tok(t)), n, sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in tok(t)), s) for (d, t), s in zip(lm_rows, plain_scores(lm_rows, counts, m), strict=True)]
+    assert len(got) == len(want)
+    for r, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert tuple(r)[:5] == w[:5]
+        assert math.isclose(r.base_score, w[5], rel_tol=1e-9) and math.isclose(r.score, w[6], rel_tol=1e-9)
     p = brown_lm.perplexity(one).first()
-    assert p.model < 0.7 * p.base
-    parts = brown_lm.score_all(df, classes=6, seeds=40, block_words=20)
-    close = {r.doc_id: r.score for r in got}
-    assert all(math.isclose(close[r.doc_id], r.score, rel_tol=1e-9) for r in parts.collect())
+    assert p.model < 0.9 * p.base
     assert brown_lm.score_all(df.limit(0)).count() == 0
+    # nothing to learn from: the score is that of the class of unseen words alone
+    alone = df.where("doc_id = 900 or doc_id = 901").where(brown_lm.held_out(F.col("doc_id")))
+    assert all(r.n_known == 0 and r.train_tokens == 0 for r in brown_lm.score_all(alone).collect())
 
 
 def test_brown_probabilities_sum_to_one(spark, lm_rows):
     df = spark.createDataFrame(lm_rows, "doc_id long, text string")
-    lexicon, m = brown_lm.train_model(df, classes=6, seeds=40)
-    rows = lexicon.collect()
-    emit = [10.0 ** (math.log10((r.n + brown_lm.DELTA) / (m.class_tokens[r["class"]] + brown_lm.DELTA * (m.class_words[r["class"]] + (r["class"] == m.open))))) for r in rows]
-    unseen = brown_lm.DELTA / (m.class_tokens[m.open] + brown_lm.DELTA * (m.class_words[m.open] + 1))
-    for c in (m.end, 0, 3):
-        # classes without words hold next to nothing
-        total = sum(10 ** m.transitions[c, r["class"]] * e for r, e in zip(rows, emit, strict=True)) + 10 ** m.transitions[c, m.open] * unseen
-        assert abs(total - 1) < 1e-3
+    rare, m = brown_lm.train_model(df, classes=6, seeds=40, frequent=100)
+    words = [(m.rare, r.n) for r in rare.collect()] + list(zip(m.classes.tolist(), m.counts.tolist(), strict=True)) + [(m.rare, 0)]
+    for c in (m.end, 0, 3, m.rare):
+        total = sum(10 ** (m.transitions[c, k] + math.log10(n + brown_lm.ADD) - m.totals[k]) for k, n in words)
+        assert abs(total - 1) < 1e-3  # classes without words hold next to nothing
+
+
+def test_brown_sweeps_place_all_frequent_words(spark):
+    """Words that aren't seeds get the class of the words that they stand among."""
+    rng = random.Random(2)
+    kinds = [[f"{p}{i}" for i in range(60)] for p in "ab"]
+    rows = [(i, " ".join(rng.choice(kinds[j % 2]) for j in range(40))) for i in range(600)]
+    _, m = brown_lm.train_model(spark.createDataFrame(rows, "doc_id long, text string"), classes=2, seeds=20)
+    cls = dict(zip(m.keys.tolist(), m.classes.tolist(), strict=True))
+    of = [{cls[int(text_words(w, SPACE)[0])] for w in k} for k in kinds]
+    assert len(m.keys) == 121 and [len(x) for x in of] == [1, 1] and of[0] != of[1]
+
+
+def test_words_are_those_of_a_split():
+    rng = random.Random(8)
+    texts = [None, "", " ", "a", " a\tB\x0b\x0cc\n", "é\u00a0É x", "x" * 50_000] + ["".join(rng.choices("aB é\n-9\u212a", k=rng.randrange(30))) for _ in range(300)]
+    col = pa.array(texts)
+    for apart, split in ((SPACE, lambda t: t.encode().lower().split()), (ALNUM, lambda t: re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.encode().lower()))):
+        name = {}
+        for t, got in zip([*texts, *texts[5:]], [*texts_of(col, apart), *texts_of(col.slice(5), apart)], strict=True):
+            words = split(t or "")
+            assert len(got) == len(words)
+            for w, h in zip(words, got.tolist(), strict=True):
+                assert name.setdefault(w, h) == h
+        assert len(set(name.values())) == len(name)
 
 
 def test_exchange_finds_classes():
