@@ -3,43 +3,43 @@
 A document is the set of its word shingles; two documents link when their Jaccard distance is at
 most tau = 1 - NUM/DEN. Texts with one and the same set are one point of the space from the start.
 
-Pivots that are whole documents tell nothing at first: almost all pairs of texts stand at distance
-1 from each other. The first level of pivots therefore lies in projections of the space.
-
-1. Rings around the empty set. Linked points have sizes within NUM/DEN of each other. A ring holds
-   sizes [L, 1.5 L); points just below it (within the triangle-inequality window, size >= L * NUM/DEN)
-   are replicated into it, so every linked pair meets in the ring of the larger point.
-2. Projections. The symmetric difference of a linked pair is at most D, the floor of (1 - t) / (1 + t)
-   times the sum of the sizes. Shingles are dealt by hash into somewhat more than D classes; projecting
-   on a class never raises the difference. If one of the two points has shingles in more than D classes,
-   some class that isn't empty has no difference at all. There every distinct projection is a pivot,
-   its Voronoi region is what projects on it, and the window is empty. A region is named by a 64-bit
-   signature of the projection. A point with shingles in too few classes is dealt again with another
-   seed, until it has enough; of a linked pair, both points are dealt with the first seed that is
-   enough for either, so they meet.
-   Shingles found in several documents of a sample are common; a first dealing leaves them out of all
-   points (that is a projection, too), so texts that share a passage and little else don't meet. Points
-   with too little left are dealt again with all their shingles. The sample decides speed alone.
-3. Regions that overlap form a family. A family that one task can hold is joined there: each point is
-   a pivot for the points in the window of its size; their coordinates (counts of shingles in COORDINATES
-   classes, whose L1 distance is at most the symmetric difference) exclude most, and sets decide.
-   Larger families are joined recursively by all tasks: each point takes as its home the pivot with which
-   it shares most regions, which settles near copies; in what is left, documents of a region become
-   pivots, and all members are held against them as above. The rest is dealt to the Voronoi region of its
-   nearest pivot in these coordinates, and a point is replicated into every region whose pivot is within
-   twice its largest possible difference of the nearest one. A region ends when all its members are in
-   one component or fewer than two are left. Where replication would not make regions smaller, the rest
-   stays one region, smaller by its pivots.
+1. Rings: the first pivot is the empty set, from which a set is as far as it is large (the metric is
+   the symmetric difference). A ring holds sizes [L, 1.5 L); points just below it, within the window of
+   the triangle inequality (size >= L * NUM/DEN), are replicated into it, so every linked pair meets in
+   the ring of the larger point.
+2. A filter inside the rings. The symmetric difference of a linked pair is at most D, the floor of
+   (1 - t) / (1 + t) times the sum of the sizes. Shingles are dealt by hash into somewhat more than D
+   classes; some class that isn't empty has no difference at all, if one of the two points has shingles in
+   more than D classes. So linked points have the hash of some class in common, and points that share none
+   with any other are done. A point with shingles in too few classes is dealt again with another seed,
+   until it has enough; of a linked pair, both points are dealt with the first seed that is enough for
+   either, so they meet. Shingles found in several documents of a sample are common; a first dealing leaves
+   them out of all points, so texts that share a passage and little else don't meet. Points with too little
+   left are dealt again with all their shingles. The sample decides speed alone.
+   Points with one class hash in common are a region to begin with. Equal regions are one.
+3. Pivots. Each point is first held against the smallest point of the region that it shares most hashes
+   with, which settles near copies. Then, in every region that isn't one component yet, about the square
+   root of its points become pivots (PIVOTS at most), and all its points are held against them: coordinates
+   (counts of shingles in COORDINATES classes, whose L1 distance is at most the symmetric difference)
+   exclude most, and sets decide.
+4. Voronoi regions. The other points go to the region of their nearest pivot in these coordinates, and are
+   replicated into every region whose pivot is within twice their largest possible difference of the
+   nearest one, the window of the triangle inequality. Where replication would not make regions smaller, the
+   rest stays one region, smaller by its pivots.
+5. Regions are joined recursively: all regions in rounds of 3 and 4 by all tasks, until a region is one
+   component or a task can hold it (LEAF_POINTS, LEAF_BYTES). There each point in turn is the pivot for
+   the points in the window of its size that aren't in its component yet.
 
 Copies never meet as pairs: equal sets are one point, and a region of near copies is one star around
-a pivot. Signatures are combined in each map task before they are dealt out, so a signature that a
-third of all rows share costs a row per task. Every link between different sets is either computed
-or joins points that are already in one component.
+a pivot. Class hashes are combined in each map task before they are dealt out, so one that a third of
+all rows share costs a row per task. Every link between different sets is either computed or joins points
+that are already in one component.
 
 Identity of sets and shingles is by 64-bit hash (two different sets are taken for one with
 probability 2^-64 a pair). Defined results: null, empty and blank texts have no shingles and are
 components of their own; a text of fewer than N words is one shingle; rows with equal ids are each
-answered; the component id is the smallest id in it (nulls aside); an empty table gives no rows.
+answered; the component id is the smallest id in it (nulls aside); an empty table gives no rows; other
+columns aren't read, and ``one_of_each`` keeps them.
 """
 
 from __future__ import annotations
@@ -66,7 +66,7 @@ BUCKET_SIGNATURES = 400_000
 COMBINE_SIGNATURES = 500_000
 #: Bytes of signatures in one row of the shuffle.
 ROW_BYTES = 1 << 17
-#: Documents of a region that become pivots at once.
+#: Documents of a region that become pivots at once, at most.
 PIVOTS = 32
 #: Classes whose counts are a point's coordinates.
 COORDINATES = 256
@@ -75,8 +75,8 @@ SAMPLE, COMMON = 12_000, 2
 #: Common shingles are kept as a bitmap of 2^BITS bits; others that fall on a set bit count as common, too.
 BITS = 24
 MOST_COMMON = 1 << 20
-#: Points and bytes of shingles of a family that one task joins.
-LOCAL_POINTS, LOCAL_BYTES = 4_096, 48_000_000
+#: Points and bytes of shingles of a region that one task joins.
+LEAF_POINTS, LEAF_BYTES = 2_048, 32_000_000
 #: Keys (8 bytes each) that may be broadcast to pick out the sets of candidates; beyond, a shuffle join does it.
 BROADCAST_KEYS = 2_000_000
 _MAX_ROUNDS = 10_000
@@ -378,22 +378,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return total
 
 
-def _families(regions: DataFrame, family: DataFrame, labels: DataFrame) -> DataFrame:
-    """(region, point) where links may be missing.
-
-    A family is taken as one region where that makes fewer pairs than its regions have together, as it
-    mostly does: they overlap. Families that are one component are done.
-    """
-    sizes = regions.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("pivot").alias("pivot"))
-    apart = sizes.join(family.withColumnRenamed("point", "pivot"), "pivot").groupBy("family").agg(F.sum(F.col("m") * F.col("m")).cast("double").alias("apart"))
-    known = family.join(labels.withColumnRenamed("node", "point"), "point", "left").withColumn("label", F.coalesce("label", "point"))
-    whole = known.groupBy("family").agg(F.count(F.lit(1)).cast("double").alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").join(apart, "family")
-    whole = whole.select("family", (F.col("m") * F.col("m") <= F.col("apart")).alias("whole"))
-    of = family.join(whole, "family")
-    one = of.where("whole").select(F.xxhash64("family", F.lit("family")).alias("region"), "point")
-    return one.unionByName(regions.join(of.where("not whole").select("point"), "point").select("region", "point"))
-
-
 def _grown(links: DataFrame, new: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """links with the new ones, and their components."""
     if not new.take(1):
@@ -403,20 +387,16 @@ def _grown(links: DataFrame, new: DataFrame, labels: DataFrame) -> tuple[DataFra
     return more, components(more)
 
 
-def _local(points: DataFrame, rings: Rings) -> DataFrame:
-    """(node, label) within families that a task can hold; points: (family, point, n, at, data).
-
-    The same join without further regions: each point in turn is the pivot for all larger ones within
-    the window of sizes that aren't in its component yet; coordinates exclude, then sets decide.
-    """
+def _leaves(points: DataFrame, rings: Rings) -> DataFrame:
+    """(a, b) links that join components within regions that a task can hold; points: (region, point, label, n, at, data)."""
     num, den = rings.num, rings.den
 
-    def joined(point: list[int], n: list[int], at: list[bytes], data: list[bytes]) -> Iterator[tuple[int, int]]:
+    def joined(point: list[int], label: list[int], n: list[int], at: list[bytes], data: list[bytes]) -> Iterator[tuple[int, int]]:
         order = np.lexsort((np.array(point), np.array(n)))
-        size = np.array(n)[order]
+        size, names = np.array(n)[order], np.array(point)[order]
         x = np.frombuffer(b"".join(at), np.uint8).reshape(-1, COORDINATES)[order].astype(np.int16)
         sets = [np.frombuffer(data[i], np.uint64) for i in order]
-        of = np.arange(len(order))
+        of = np.unique(np.array(label)[order], return_inverse=True)[1]
         for i in range(len(order) - 1):
             end = int(np.searchsorted(size * num, size[i] * den, "right"))
             others = np.arange(i + 1, end)
@@ -432,76 +412,68 @@ def _local(points: DataFrame, rings: Rings) -> DataFrame:
                 both = int(np.count_nonzero(sets[j][p] == sets[i]))
                 if den * both >= num * (int(size[i]) + int(size[j]) - both):
                     of[of == of[j]] = of[i]
-        names = np.array(point)[order]
-        for k in np.unique(of):
-            own = names[of == k]
-            if len(own) > 1:
-                least = int(own.min())
-                yield from ((int(q), least) for q in own)
+                    yield int(names[i]), int(names[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, ([], [], [], [])
+        at, held = None, ([], [], [], [], [])
         found: list[tuple[int, int]] = []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int64())], names=["a", "b"])
+
         for b in slices(batches, 500):
             for f, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if f != at:
                     if len(held[0]) > 1:
                         found += joined(*held)
-                    at, held = f, ([], [], [], [])
+                    at, held = f, ([], [], [], [], [])
                 for h, v in zip(held, row, strict=True):
                     h.append(v)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int64())], names=["node", "label"])
+                yield out()
                 found = []
         if len(held[0]) > 1:
             found += joined(*held)
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int64())], names=["node", "label"])
-
-    rows = points.select("family", "point", "n", "at", "data").repartition("family").sortWithinPartitions("family")
-    return rows.mapInArrow(run, "node bigint, label bigint")
+        yield out()
 
+    rows = points.select("region", "point", "label", "n", "at", "data").repartition("region").sortWithinPartitions("region")
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
-def _joined(regions: DataFrame, sets: DataFrame, rings: Rings, pivots: int, local_bytes: int, local_points: int) -> DataFrame:
-    """(node, label) of all points that have a link; regions: (region, point, pivot, times), without equal ones.
 
-    All points that regions connect are a family. A family that a task can hold is joined there; others
-    are joined by all tasks together.
-    """
-    edges = regions.where("pivot < point").select(F.col("point").alias("a"), F.col("pivot").alias("b"))
-    family = components(edges).select(F.col("node").alias("point"), F.col("label").alias("family"))
-    sizes = family.join(sets.select("point", "n"), "point").groupBy("family").agg(F.count(F.lit(1)).alias("m"), (F.sum("n") * 8).alias("bytes"))
-    sizes = sizes.select("family", F.expr(f"m <= {local_points} and bytes <= {local_bytes}").alias("small"))
-    sized = written(family.join(sizes, "family"), "join-families")
-    labels = written(_local(sets.join(sized.where("small").select("point", "family"), "point"), rings), "join-local")
-    large = sized.where("not small").select("point", "family")
-    if not large.take(1):
-        return labels
-    return labels.unionByName(_spread(regions.join(large.select("point"), "point", "left_semi"), large, sets, rings, pivots))
-
-
-def _spread(regions: DataFrame, family: DataFrame, sets: DataFrame, rings: Rings, pivots: int) -> DataFrame:
-    """(node, label) of all points that have a link, in rounds over all regions at once."""
+def _joined(regions: DataFrame, sets: DataFrame, rings: Rings, pivots: int, leaf_bytes: int, leaf_points: int, told: dict[str, int] | None) -> DataFrame:
+    """(node, label) of all points that have a link, in rounds over all regions at once; regions: (region, point, pivot, times), without equal ones."""
     num, den = rings.num, rings.den
     # first the star around the pivot that each point shares most regions with
     near = regions.where("pivot < point").groupBy("point", "pivot").agg(F.sum("times").alias("times"))
-    home = written(near.groupBy("point").agg(F.max_by("pivot", F.struct("times", "pivot")).alias("pivot")), "join-home")
+    home = near.groupBy("point").agg(F.max_by("pivot", F.struct("times", "pivot")).alias("pivot"))
     links = written(_links(_apart(home, sets, rings).where("maybe"), sets, num, den), "links")
     labels = components(links)
-    active = written(_families(regions, family, labels), "join-active")
-    held: list[DataFrame] = [home, active]
-    asked, held_asked = None, []
+    active, held, asked, held_asked = regions.select("region", "point"), [], None, []
     for round_ in range(_MAX_ROUNDS):
         rows = active.join(labels.withColumnRenamed("node", "point"), "point", "left").select("region", "point", F.coalesce("label", "point").alias("label"))
-        rows = written(rows, "join-active")
+        open_ = rows.groupBy("region").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("m")).where("l0 <> l1").select("region", "m")
+        rows = written(rows.join(open_, "region"), "join-active")
+        discard(*held)
+        if round_:
+            # what a task can hold ends here
+            sizes = rows.join(sets.select("point", "n"), "point").groupBy("region").agg((F.sum("n") * 8).alias("bytes"))
+            fits = sizes.where(f"bytes <= {leaf_bytes}").select("region")
+            leaves = written(rows.where(f"m <= {leaf_points}").join(fits, "region", "left_semi"), "join-leaves")
+            new = written(_leaves(leaves.select("region", "point", "label").join(sets, "point"), rings), "links")
+            if told is not None:
+                told["leaves"] = told.get("leaves", 0) + leaves.select("region").distinct().count()
+            links, labels = _grown(links, new, labels)
+            rest = written(rows.join(leaves.select("region").distinct(), "region", "left_anti"), "join-active")
+            discard(rows, leaves)
+            rows = rest
+        if not rows.take(1):
+            discard(rows, *held_asked)
+            return labels
         # pivots come from the smallest components: once they are gone, a region is often one component
         sizes = rows.groupBy("region", "label").agg(F.count(F.lit(1)).alias("size"))
-        open_ = sizes.groupBy("region").agg(F.count(F.lit(1)).alias("labels")).where("labels > 1").select("region")
         line = Window.partitionBy("region").orderBy("size", F.xxhash64("point"), "point")
-        some = rows.join(open_, "region").join(sizes, ["region", "label"]).withColumn("place", F.row_number().over(line)).where(F.col("place") <= pivots)
+        some = rows.join(sizes, ["region", "label"]).withColumn("place", F.row_number().over(line)).where(F.col("place") <= pivots).where("place <= ceil(sqrt(m))")
         some = written(some.select("region", F.col("point").alias("pivot"), F.col("label").alias("of")), "join-pivots")
-        if not some.take(1):
-            discard(rows, some, *held, *held_asked)
-            return labels
         met = rows.join(some, "region").where("point <> pivot")
         pairs = met.groupBy("point", "pivot").agg(F.max(F.col("label") != F.col("of")).alias("open"))
         apart = written(_apart(pairs, sets, rings), "join-apart")
@@ -520,16 +492,20 @@ def _spread(regions: DataFrame, family: DataFrame, sets: DataFrame, rings: Rings
         # replicate to Voronoi regions only where that leaves less than the plain rest
         gain = rest.groupBy("region").agg(F.sum("in_").alias("copies"), F.countDistinct("point").alias("points"))
         rest = rest.join(gain.where("points > 1"), "region")
-        cells = rest.where("in_ = 1 and 2 * copies <= 3 * points").select(F.xxhash64("region", "pivot", F.lit(round_)).alias("region"), "point")
-        whole = rest.where("2 * copies > 3 * points").select("region", "point").distinct()
+        cells = rest.where("in_ = 1 and 2 * copies <= 3 * points").select(F.xxhash64("region", "pivot", F.lit(round_)).alias("region"), "point", F.lit(True).alias("cell"))
+        whole = rest.where("2 * copies > 3 * points").select("region", "point", F.lit(False).alias("cell")).distinct()
         left = written(cells.unionByName(whole), "join-left")
-        discard(rows, some, apart, *held)
-        held, active = [left], left
+        if told is not None:
+            told["pivots"] = told.get("pivots", 0) + some.count()
+            told["cells"] = told.get("cells", 0) + left.where("cell").select("region").distinct().count()
+            told["rounds"] = round_ + 1
+        discard(rows, some, apart)
+        held, active = [left], left.select("region", "point")
     raise RuntimeError("the regions did not get smaller")
 
 
-def clusters(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, num: int = NUM, den: int = DEN, pivots: int = PIVOTS, local_points: int = LOCAL_POINTS, local_bytes: int = LOCAL_BYTES) -> DataFrame:
-    """One row per document: doc_id, row (hash of its text), n_shingles, component_id."""
+def clusters(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, num: int = NUM, den: int = DEN, pivots: int = PIVOTS, leaf_points: int = LEAF_POINTS, leaf_bytes: int = LEAF_BYTES, told: dict[str, int] | None = None) -> DataFrame:
+    """One row per document: doc_id, row (hash of its text), n_shingles, component_id. ``told`` gets the numbers of rounds, pivots, Voronoi regions and leaves."""
     small_batches(docs.sparkSession)
     rings = Rings(num, den)
     slim = written(_slim(docs, id_col, text_col, n), "join-slim")
@@ -546,7 +522,7 @@ def clusters(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     labels = None
     if regions.take(1):
         sets = written(_sets(docs, text_col, n, regions.select("point").distinct()), "join-sets")
-        labels = _joined(regions, sets, rings, pivots, local_bytes, local_points)
+        labels = _joined(regions, sets, rings, pivots, leaf_bytes, leaf_points, told)
         discard(sets)
     first = slim.where("point is not null").groupBy("point").agg(F.min("doc_id").alias("least"))
     first = first.withColumn("label", F.col("point")) if labels is None else first.join(labels.withColumnRenamed("node", "point"), "point", "left").withColumn("label", F.coalesce("label", "point"))

@@ -60,8 +60,30 @@ def corpus(seed):
 def test_join_is_exact(spark, seed, points):
     rows = corpus(seed)
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, point int")
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.clusters(df, local_points=points, pivots=3).collect())
+    told = {}
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.clusters(df, leaf_points=points, pivots=3, told=told).collect())
     assert got == brute(rows)
+    assert told["pivots"] > 0
+
+
+def test_voronoi_regions_decide(spark):
+    """Families of texts that share most of a passage, but not enough to link: only pivots and their regions tell them apart."""
+    rng = random.Random(6)
+    say = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    rows = []
+    for _ in range(12):
+        centre = say(300)
+        for k in range(24):
+            w = list(centre)
+            at = rng.randrange(200)
+            w[at : at + 14 + k % 3] = say(14 + k % 3)  # two of these differ in about 30 to 40 of 296 shingles
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for leaf in (2048, 2):
+        told = {}
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.clusters(df, leaf_points=leaf, told=told).collect())
+        assert got == brute(rows)
+        assert told["pivots"] > 0, told
 
 
 def test_one_of_each(spark):
