@@ -71,6 +71,11 @@ def remove(spark: SparkSession, path: str) -> None:
     _left[:] = [x for x in _left if x[1] != path]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in list(_left):

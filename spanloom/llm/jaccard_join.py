@@ -18,7 +18,7 @@ most tau = 1 - NUM/DEN. Texts with one and the same set are one point of the spa
    left are dealt again with all their shingles. The sample decides speed alone.
    Points with one class hash in common are a region to begin with. Equal regions are one.
 3. Pivots. Each point is first held against the smallest point of the region that it shares most hashes
-   with, which settles near copies. Then, in every region that isn't one component yet, about the square
+   with, which settles near copies. Regions that aren't one component yet and overlap are taken together. In each, about the square
    root of its points become pivots (PIVOTS at most), and all its points are held against them: coordinates
    (counts of shingles in COORDINATES classes, whose L1 distance is at most the symmetric difference)
    exclude most, and sets decide.
@@ -378,6 +378,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return total
 
 
+def _families(rows: DataFrame) -> DataFrame:
+    """(region, point) of the same regions, or of what they are together where that has fewer pairs than they have apart, as it mostly has: they overlap. rows: (region, point)."""
+    sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("point").alias("pivot"))
+    edges = rows.join(sizes, "region").where("point <> pivot").select(F.col("point").alias("a"), F.col("pivot").alias("b"))
+    family = components(edges).withColumnRenamed("label", "family")
+    apart = sizes.join(family, F.col("pivot") == F.col("node")).groupBy("family").agg(F.sum(F.col("m") * F.col("m")).cast("double").alias("apart"))
+    of = family.join(family.groupBy("family").agg(F.count(F.lit(1)).cast("double").alias("m")).join(apart, "family").select("family", (F.col("m") * F.col("m") <= F.col("apart")).alias("whole")), "family").withColumnRenamed("node", "point")
+    one = of.where("whole").select(F.xxhash64("family", F.lit("family")).alias("region"), "point")
+    return one.unionByName(rows.join(of.where("not whole").select("point"), "point").select("region", "point"))
+
+
 def _grown(links: DataFrame, new: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """links with the new ones, and their components."""
     if not new.take(1):
@@ -448,7 +459,10 @@ def _joined(regions: DataFrame, sets: DataFrame, rings: Rings, pivots: int, leaf
     home = near.groupBy("point").agg(F.max_by("pivot", F.struct("times", "pivot")).alias("pivot"))
     links = written(_links(_apart(home, sets, rings).where("maybe"), sets, num, den), "links")
     labels = components(links)
-    active, held, asked, held_asked = regions.select("region", "point"), [], None, []
+    open_ = regions.join(labels.withColumnRenamed("node", "point"), "point", "left").groupBy("region").agg(F.min(F.coalesce("label", "point")).alias("l0"), F.max(F.coalesce("label", "point")).alias("l1")).where("l0 <> l1")
+    left = written(regions.select("region", "point").join(open_.select("region"), "region", "left_semi"), "join-open")
+    active, asked, held_asked = written(_families(left), "join-families"), None, []
+    held = [left, active]
     for round_ in range(_MAX_ROUNDS):
         rows = active.join(labels.withColumnRenamed("node", "point"), "point", "left").select("region", "point", F.coalesce("label", "point").alias("label"))
         open_ = rows.groupBy("region").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("m")).where("l0 <> l1").select("region", "m")

@@ -10,12 +10,12 @@ hash buckets and by the order inside one bucket, so no source is ever gathered i
 
 Defined results: a null text has size 0; a null source is a source of its own, sorted last; an
 empty membership takes nothing; rows that repeat in all columns used are interchangeable; an
-empty table gives no rows; further columns are not read.
+empty table gives no rows; further columns are carried on request and otherwise not read; carried columns of the
+result's names are replaced.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,6 +29,7 @@ REPEAT_COST = (1, 4, 9)
 BUCKETS = 65536
 #: Patterns that the driver's flow takes; more is an error, since nothing may be dropped.
 MAX_PATTERNS = 200_000
+RESULT = ("members", "size", "source_size", "target", "taken")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -56,72 +57,87 @@ def targets(sizes: dict[str | None, int], weights: dict[str | None, float], most
 def min_cost_flow(offers: Sequence[tuple[tuple[str | None, ...], int]], quotas: dict[str | None, int], costs: Sequence[int] = REPEAT_COST) -> list[dict[str | None, int]]:
     """For each pattern (members, words): words routed to each member.
 
-    Successive shortest paths with potentials. An arc start -> pattern of each cost carries one
-    use of the pattern's words; arcs pattern -> source are free, source -> end hold the quotas.
+    An arc start -> pattern of each cost carries one use of the pattern's words; arcs pattern -> source are free,
+    source -> end hold the quotas. All arcs but the first cost nothing, and a use costs the same in every pattern. The
+    cost of an augmenting path is thus that of its first arc, and cheapest paths come in order of the uses: a largest
+    flow with one use of all patterns, made larger with two, then three, has least cost. Each of these is found
+    by blocking flows over levels.
     """
+    if list(costs) != sorted(costs):
+        raise ValueError("costs of repetition must not fall")
     sources = list(quotas)
     n = len(offers) + len(sources) + 2
     start, end = n - 2, n - 1
     at = {s: len(offers) + i for i, s in enumerate(sources)}
-    arcs: list[list[int]] = []  # to, left, cost; the reverse arc is at index ^ 1
+    to: list[int] = []  # of each arc; the reverse arc is at index ^ 1
+    left: list[int] = []
     out: list[list[int]] = [[] for _ in range(n)]
 
-    def arc(a: int, b: int, cap: int, cost: int) -> int:
-        out[a].append(len(arcs))
-        arcs.append([b, cap, cost])
-        out[b].append(len(arcs))
-        arcs.append([a, 0, -cost])
-        return len(arcs) - 2
-
-    routes = []
-    for i, (members, size) in enumerate(offers):
-        for cost in costs:
-            arc(start, i, size, cost)
-        routes.append({s: arc(i, at[s], size * len(costs), 0) for s in dict.fromkeys(members) if s in at})
+    def arc(a: int, b: int, cap: int) -> int:
+        out[a].append(len(to))
+        out[b].append(len(to) + 1)
+        to.extend((b, a))
+        left.extend((cap, 0))
+        return len(to) - 2
+
+    uses = [arc(start, i, 0) for i in range(len(offers))]
+    routes = [{s: arc(i, at[s], size * len(costs)) for s in dict.fromkeys(members) if s in at} for i, (members, size) in enumerate(offers)]
     for s, q in quotas.items():
-        arc(at[s], end, q, 0)
-    high = [0] * n
-    while True:
-        dist: list[float] = [float("inf")] * n
-        via = [-1] * n
-        dist[start] = 0
-        heap = [(0, start)]
-        while heap:
-            d, a = heapq.heappop(heap)
-            if d > dist[a]:
-                continue
-            for k in out[a]:
-                b, left, cost = arcs[k]
-                if left > 0 and (e := d + cost + high[a] - high[b]) < dist[b]:
-                    dist[b], via[b] = e, k
-                    heapq.heappush(heap, (e, b))
-        if dist[end] == float("inf"):
-            break
-        for a in range(n):
-            if dist[a] < float("inf"):
-                high[a] += int(dist[a])
-        push, b = None, end
-        while b != start:
-            left = arcs[via[b]][1]
-            push = left if push is None else min(push, left)
-            b = arcs[via[b] ^ 1][0]
-        b = end
-        while b != start:
-            arcs[via[b]][1] -= push
-            arcs[via[b] ^ 1][1] += push
-            b = arcs[via[b] ^ 1][0]
-    return [{s: arcs[k ^ 1][1] for s, k in r.items()} for r in routes]
+        arc(at[s], end, q)
+    for _ in costs:
+        for k, (_, size) in zip(uses, offers, strict=True):
+            left[k] += size
+        while True:
+            level = [-1] * n
+            level[start] = 0
+            line = [start]
+            for a in line:
+                for k in out[a]:
+                    if left[k] > 0 and level[to[k]] < 0:
+                        level[to[k]] = level[a] + 1
+                        line.append(to[k])
+            if level[end] < 0:
+                break
+            place = [0] * n
+            path: list[int] = []
+            a = start
+            while True:
+                if a == end:
+                    push = min(left[k] for k in path)
+                    for k in path:
+                        left[k] -= push
+                        left[k ^ 1] += push
+                    first = next(i for i, k in enumerate(path) if left[k] == 0)
+                    a = to[path[first] ^ 1]
+                    del path[first:]
+                    continue
+                while place[a] < len(out[a]):
+                    k = out[a][place[a]]
+                    if left[k] > 0 and level[to[k]] == level[a] + 1:
+                        break
+                    place[a] += 1
+                else:
+                    if a == start:
+                        break
+                    k = path.pop()
+                    a = to[k ^ 1]
+                    place[a] += 1
+                    continue
+                path.append(k)
+                a = to[k]
+    return [{s: left[k ^ 1] for s, k in r.items()} for r in routes]
 
 
 def mix(docs: DataFrame, *, members: Column, size: Column, identity: Sequence[Column], weights=None, seed: int = 17, carry: Sequence[str] = ()) -> DataFrame:
-    """Rows of docs with ``carry``, id order columns and: size, members, taken (words, repeats counted).
+    """Rows of docs with the columns of ``carry``, and members, size, source_size, target, taken (words, repeats counted), which replace columns of these names.
 
     members: array of sources. weights: from the sorted sources to their weights; by default 1, 2, 3, repeating.
     The columns source_size and target are those of the first member.
     """
     spark = docs.sparkSession
+    held = [(f"c{i}_", c) for i, c in enumerate(carry) if c not in RESULT]
     slim = written(
-        docs.select(*[F.col(c) for c in carry], F.to_json(F.struct(F.array_sort(F.array_distinct(members)).alias("m"))).alias("pattern_"), members.alias("members_"), size.alias("size"), F.xxhash64(F.lit(seed), *identity).alias("order_"), F.xxhash64(F.lit(seed + 1), *identity).alias("tie_")),
+        docs.select(*[docs[c].alias(n) for n, c in held], F.to_json(F.struct(F.array_sort(F.array_distinct(members)).alias("m"))).alias("pattern_"), members.alias("members_"), size.alias("size"), F.xxhash64(F.lit(seed), *identity).alias("order_"), F.xxhash64(F.lit(seed + 1), *identity).alias("tie_")),
         "mix-slim",
     )
     by = slim.groupBy("pattern_").agg(F.first(F.array_sort(F.array_distinct("members_"))).alias("m"), F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
@@ -160,12 +176,12 @@ def mix(docs: DataFrame, *, members: Column, size: Column, identity: Sequence[Co
     within = within.withColumn("more_", F.greatest(F.lit(0), F.least("size", F.col("room_") - F.col("sum_") + F.col("size")))).drop("sum_")
     apart = rows_.where("edge_ is null or bucket_ <> edge_").withColumn("more_", F.when(F.col("bucket_") < F.col("edge_"), F.col("size")).otherwise(F.lit(0)))
     out = apart.unionByName(within)
-    return out.select(*carry, F.col("members_").alias("members"), "size", "source_size", "target", (F.col("whole_") * F.col("size") + F.col("more_")).cast("bigint").alias("taken"))
+    return out.select(*[F.col(n).alias(c) for n, c in held], F.col("members_").alias("members"), "size", "source_size", "target", (F.col("whole_") * F.col("size") + F.col("more_")).cast("bigint").alias("taken"))
 
 
 def by_source(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: Sequence[str] | None = None, seed: int = 17) -> DataFrame:
     """Each document in the one source that it names; see the module."""
-    return mix(docs, members=F.array(F.col(source_col)), size=words(F.col(text_col)), identity=[F.col(id_col), F.xxhash64(F.col(text_col))], carry=[id_col] if carry is None else carry, seed=seed)
+    return mix(docs, members=F.array(docs[source_col]), size=words(docs[text_col]), identity=[docs[id_col], F.xxhash64(docs[text_col])], carry=[id_col] if carry is None else carry, seed=seed)
 
 
 __all__ = ["by_source", "discard", "min_cost_flow", "mix", "targets", "words"]

@@ -7,7 +7,7 @@ of its pages that rules of the kind decide. Hosts whose
 distrust is more than LIMIT times their trust are blocked, others allowed.
 
 Edges are counted per pair of hosts before they are shuffled, so a host with a third of all pages
-is a few rows. Each round joins ranks to edges and writes its result to the shared folder. Defined
+is a few rows. Each round joins ranks to edges; every few rounds are written to the shared folder. Defined
 results: a null url or one without "://" has an empty host and path and no rule, and is allowed;
 null html has no links; links of a host to itself and repeated links on a page don't count; without
 links only seeds have rank; an empty table gives no rows; other columns aren't read.
@@ -25,8 +25,8 @@ from .common import discard, written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES: tuple[tuple[str, str], ...] = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DAMPING = 0.85
-ROUNDS = 20
-#: Rounds end when ranks move by less in sum.
+#: Rounds that are planned at once; they end when a step moves ranks by less in sum.
+STEP = 8
 CHANGE = 1e-4
 LIMIT = 1.0
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
@@ -58,24 +58,32 @@ def edges_of(pages: DataFrame, host: Column, html: Column) -> DataFrame:
     return links.where("src <> dst and src <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def personalised(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, change: float = CHANGE) -> DataFrame:
-    """(host, rank) by power iteration; seeds: (host, mass) with masses that sum to 1. Mass without an exit goes back to the seeds."""
-    out = edges.groupBy("src").agg(F.sum("n").alias("total"))
-    share = written(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), "rank-share")
-    rank = written(seeds.select("host", F.col("mass").alias("rank")), "rank")
-    for _ in range(rounds):
-        moved = share.join(rank, F.col("src") == F.col("host")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("into"))
-        total = moved.agg(F.coalesce(F.sum("into"), F.lit(0.0))).first()[0]
-        lost = 1 - damping * total
-        new = moved.select(F.col("dst").alias("host"), (F.col("into") * damping).alias("part")).unionByName(seeds.select("host", (F.col("mass") * lost).alias("part"))).groupBy("host").agg(F.sum("part").alias("rank"))
+def personalised(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, change: float = CHANGE) -> DataFrame:
+    """(walk, host, rank) by power iteration; edges: (walk, src, dst, n); seeds: (walk, host, mass) with masses that sum to 1 in each walk.
+
+    Mass without an exit goes back to the seeds, which is the same as to let it go and to scale the result to 1. All walks
+    go on together, STEP rounds at a time, until a step moves none by ``change`` in sum; the movement falls by ``damping`` in each round
+    at least, so that comes.
+    """
+    out = edges.groupBy("walk", "src").agg(F.sum("n").alias("total"))
+    share = written(edges.join(out, ["walk", "src"]).select(F.col("walk").alias("w_"), "src", "dst", (F.col("n") / F.col("total")).alias("share")), "rank-share")
+    start = seeds.select("walk", "host", (F.col("mass") * (1 - damping)).alias("part"))
+    rank = written(seeds.select("walk", "host", F.col("mass").alias("rank")), "rank")
+    while share.take(1):
+        new = rank
+        for _ in range(STEP):
+            moved = share.join(new, (F.col("w_") == F.col("walk")) & (F.col("src") == F.col("host"))).select("walk", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("part"))
+            new = moved.unionByName(start).groupBy("walk", "host").agg(F.sum("part").alias("rank"))
         new = written(new, "rank")
-        by = new.join(rank.withColumnRenamed("rank", "old"), "host", "full_outer").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
+        both = new.unionByName(rank.select("walk", "host", (-F.col("rank")).alias("rank"))).groupBy("walk", "host").agg(F.sum("rank").alias("d"))
+        by = max((r.by for r in both.groupBy("walk").agg(F.sum(F.abs("d")).alias("by")).collect()), default=0.0)  # a row for each walk
         discard(rank)
         rank = new
-        if (by or 0.0) < change:
+        if by < change:
             break
     discard(share)
-    return rank
+    whole = rank.groupBy("walk").agg(F.sum("rank").alias("whole"))
+    return rank.join(F.broadcast(whole), "walk").select("walk", "host", (F.col("rank") / F.col("whole")).alias("rank"))
 
 
 def _seeds(hosts: DataFrame, what: str) -> DataFrame | None:
@@ -92,13 +100,18 @@ def host_ranks(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
     ruled = ruled.withColumn("verdict", rule_of(F.col("host"), F.col("path"), rules)[1])
     hosts = written(ruled.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("verdict") == "allow").alias("allow"), F.count_if(F.col("verdict") == "block").alias("block")), "hosts")
     edges = written(edges_of(pages, host, F.col(html_col)), "edges")
-    none = hosts.limit(0).select("host", F.lit(0.0).alias("rank"))
-    good, bad = _seeds(hosts, "allow"), _seeds(hosts, "block")
-    trust = personalised(edges, good) if good is not None else none
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = personalised(back, bad) if bad is not None else none
-    both = trust.select("host", F.col("rank").alias("trust")).join(distrust.select("host", F.col("rank").alias("distrust")), "host", "full_outer")
-    return both.na.fill(0.0, ["trust", "distrust"])
+    walks, seeds = None, None
+    for walk, what, links in (("trust", "allow", edges), ("distrust", "block", back)):
+        some = _seeds(hosts, what)
+        if some is not None:
+            some, links = some.withColumn("walk", F.lit(walk)), links.withColumn("walk", F.lit(walk))
+            seeds, walks = (some, links) if seeds is None else (seeds.unionByName(some), walks.unionByName(links))
+    if seeds is None:
+        return hosts.limit(0).select("host", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"))
+    ranks = personalised(walks, written(seeds, "rank-seeds"))
+    of = lambda walk: F.sum(F.when(F.col("walk") == walk, F.col("rank")).otherwise(0.0)).alias(walk)
+    return ranks.groupBy("host").agg(of("trust"), of("distrust"))
 
 
 def judged(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: Sequence[tuple[str, str]] = RULES, limit: float = LIMIT) -> DataFrame:

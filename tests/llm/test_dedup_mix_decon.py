@@ -30,7 +30,7 @@ def test_exact_dedup(spark):
     assert sum(r["kept"] for r in rows) == len(by)
     stay = exact_dedup.deduplicate(docs(spark, ODD))
     assert stay.columns == docs(spark, ODD).columns and sorted((r.doc_id or 0) for r in stay.collect()) == [0, 2, 4, 5]
-    empty = docs(spark, []) if False else docs(spark, ODD).limit(0)
+    empty = docs(spark, ODD).limit(0)
     assert exact_dedup.decisions(empty).count() == 0 and exact_dedup.deduplicate(empty).count() == 0
 
 
@@ -49,6 +49,25 @@ def test_exact_dedup_keeps_state(spark, tmp_path):
     assert len(first) == 2 and later[3].group_size == 2 and later[3].keep_id == 3 and later[4].group_size == 1
 
 
+@pytest.mark.parametrize("plain", [True, False])
+def test_exact_dedup_compares_bytes_with_earlier_calls(spark, tmp_path, plain):
+    """All texts have one digest; only bytes tell them apart, in one call and over three."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["aa", "bb", "cc", None, ""]), "s") for i in range(60)]
+    constant = lambda t: F.lit("d")
+    seen = {}
+    for k in range(3):
+        part = rows[20 * k : 20 * k + 20]
+        df = docs(spark, part)
+        if plain:
+            df.write.parquet(f"{tmp_path}/in{k}")
+            df = spark.read.parquet(f"{tmp_path}/in{k}")
+        got = {r.doc_id: r for r in exact_dedup.decisions(df, state_dir=f"{tmp_path}/state", digest=constant).collect()}
+        for i, t, _ in part:
+            seen.setdefault(t or "", []).append(i)
+        assert {i: (r.keep_id, r.group_size, r.kept) for i, r in got.items()} == {i: (max(seen[t or ""]), len(seen[t or ""]), i == max(seen[t or ""])) for i, t, _ in part}
+
+
 def words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 

@@ -224,10 +224,58 @@ def test_ranks_against_plain_iteration(spark):
     edges = [(f"h{rng.randrange(12)}", f"h{rng.randrange(12)}", 1 + rng.randrange(3)) for _ in range(40)]
     edges = list({(s, d): (s, d, w) for s, d, w in edges if s != d}.values())
     seeds = {"h0": 0.5, "h1": 0.5}
-    e = spark.createDataFrame(edges, "src string, dst string, n long")
-    got = dict(map(tuple, url_filter.personalised(e, spark.createDataFrame(list(seeds.items()), "host string, mass double"), rounds=60, change=1e-7).collect()))
-    want = plain_rank(edges, seeds)
-    assert all(abs(got.get(h, 0.0) - want[h]) < 1e-4 for h in want)
+    both = [("a", *e) for e in edges] + [("b", d, s, w) for s, d, w in edges]
+    e = spark.createDataFrame(both, "walk string, src string, dst string, n long")
+    start = [(w, h, m) for w in "ab" for h, m in seeds.items()]
+    got = {(r.walk, r.host): r["rank"] for r in url_filter.personalised(e, spark.createDataFrame(start, "walk string, host string, mass double"), change=1e-6).collect()}
+    for w, es in (("a", edges), ("b", [(d, s, n) for s, d, n in edges])):
+        want = plain_rank(es, seeds)
+        assert all(abs(got.get((w, h), 0.0) - want[h]) < 1e-4 for h in want)
+
+
+def plain_verdicts(pages):
+    """Every page's verdict from the definition."""
+    def parts(u):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.match("[^/?#]*", rest)[0]
+        return host.lower(), re.match("[^?#]*", rest[len(host) :])[0]
+
+    def rule(h, p):
+        fits = [(r, w) for w, r in url_filter.RULES if (h == r.split("/")[0] or h.endswith("." + r.split("/")[0])) and p.startswith("/" + r.split("/", 1)[1])]
+        return max(fits, key=lambda x: len(x[0]), default=(None, None))
+
+    count, edges = {}, {}
+    for u, html in pages:
+        h, p = parts(u)
+        if h:
+            c = count.setdefault(h, [0, 0, 0])
+            c[0] += 1
+            c[1] += rule(h, p)[1] == "allow"
+            c[2] += rule(h, p)[1] == "block"
+            for x in {x.lower() for x in re.findall(r"""<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)""", html or "", re.I)} - {h}:
+                edges[h, x] = edges.get((h, x), 0) + 1
+    rank = {}
+    for k, es in ((1, [(s, d, n) for (s, d), n in edges.items()]), (2, [(d, s, n) for (s, d), n in edges.items()])):
+        mass = {h: c[k] / c[0] for h, c in count.items() if c[k]}
+        rank[k] = plain_rank(es, {h: m / sum(mass.values()) for h, m in mass.items()}) if mass else {}
+    out = []
+    for u, _ in pages:
+        h, p = parts(u)
+        r, w = rule(h, p)
+        out.append((h, p, r, w or ("block" if rank[2].get(h, 0.0) > url_filter.LIMIT * rank[1].get(h, 0.0) else "allow")))
+    return out
+
+
+def test_verdicts_against_plain_ones(spark):
+    rng = random.Random(11)
+    hosts = ["a.com", "b.com", "good.org", "x.example.org", "n.net", "m.net", "far.net", "q.io"]
+    link = lambda: "".join(f"<a href='//{rng.choice(hosts)}/p'>x</a>" for _ in range(rng.randrange(4)))
+    pages = [(f"https://{rng.choice(hosts)}{rng.choice(['/de/1', '/fr/2', '/es/3', '/en/1', '/', ''])}", link()) for _ in range(120)]
+    pages += [(None, None), ("nothing", "x"), pages[0], pages[0], ("http://long.net/" + "a" * 50_000, "<a href='//a.com'>" * 5_000)]
+    df = spark.createDataFrame([(i, u, h, "old", 0.5) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string, rule string, trust double")
+    got = [tuple(r)[1:5] for r in url_filter.judged(df).orderBy("page_id").collect()]
+    assert got == plain_verdicts(pages)
+    assert {g[3] for g in got if g[2] is None} == {"allow", "block"}
 
 
 def test_distrust_spreads_to_hosts_that_link_to_blocked_ones(spark):
