@@ -77,10 +77,6 @@ def blocks(seq: Column, k: int) -> Column:
     return F.when(n >= k, at).otherwise(F.array().cast("array<string>"))
 
 
-def share_kmer(a: Column, b: Column, k: int) -> Column:
-    return F.arrays_overlap(kmers(a, k), kmers(b, k))
-
-
 def jaccard_distance(a: Column, b: Column, k: int) -> Column:
     """One less the share of common distinct k-mers."""
     x, y = kmers(a, k), kmers(b, k)

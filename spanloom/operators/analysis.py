@@ -48,9 +48,9 @@ def two_decimals(x: Column) -> Column:
     return F.when(x == 0, F.lit("0")).when(x < 0.01, F.lit("<0.01")).otherwise(F.format_string("%.2f", x))
 
 
-def console(report_: DataFrame) -> DataFrame:
-    """The report as text columns."""
-    return report_.select(*OWNER, F.concat("bp_covered", F.lit(" ("), percent(F.col("frac")), F.lit(" / "), percent(F.col("frac_unambig")), F.lit(")")).alias("covered"), F.concat(two_decimals(F.col("depth")), F.lit(" / "), two_decimals(F.col("depth_unambig"))).alias("depth"))
+def console(report_: DataFrame, *more: str) -> DataFrame:
+    """The report as text columns, and columns ``more``."""
+    return report_.select(*OWNER, *more, F.concat("bp_covered", F.lit(" ("), percent(F.col("frac")), F.lit(" / "), percent(F.col("frac_unambig")), F.lit(")")).alias("covered"), F.concat(two_decimals(F.col("depth")), F.lit(" / "), two_decimals(F.col("depth_unambig"))).alias("depth"))
 
 
 def table_text(rows: list[list[str]], align: list[str]) -> str:

@@ -15,20 +15,14 @@ from spanloom.functions.kernels import exact_run, longest_around
 from spanloom.functions.sequences import blocks, kmers, mismatches, reverse_complement
 
 from .intervals import merged
-from .tiling import KEYS, pieces
+from .tiling import KEYS, pieces, pieces_around
 
+#: Rows of an index that may be broadcast (a row has a k-mer and a probe); beyond, k-mers are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
-def block_length(length: int, mismatches_: int, least: int = 1) -> int:
-    """Length of blocks that tile a probe so that one of them is free of mismatches."""
-    if mismatches_ >= length:
-        raise ValueError("as many mismatches as letters")
-    k = length if mismatches_ == 0 else length // mismatches_ - (length % mismatches_ == 0)
-    while k > 0 and length % k:
-        k -= 1
-    if k < least:
-        raise ValueError("blocks would be shorter than allowed")
-    return k
+def _small(index: DataFrame) -> bool:
+    return index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def exact_blocks(length: int, mismatches_: int) -> list[tuple[int, int]]:
@@ -40,12 +34,6 @@ def exact_blocks(length: int, mismatches_: int) -> list[tuple[int, int]]:
     return [(a, z - a) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def sampled_index(probes: DataFrame, k: int, per_probe: int = 20, seed: int = 0) -> DataFrame:
-    """(kmer, probe_id, pos) of so many k-mers of each probe, chosen by a hash."""
-    at = F.transform(kmers(F.col("seq"), k), lambda w, i: F.struct(F.xxhash64(F.lit(seed), "seq", i).alias("h"), w.alias("kmer"), i.alias("pos")))
-    return probes.select("probe_id", F.explode(F.slice(F.array_sort(at), 1, per_probe)).alias("x")).select("x.kmer", "probe_id", "x.pos")
-
-
 def full_index(probes: DataFrame, k: int) -> DataFrame:
     """(kmer, probe_id, pos) of all k-mers."""
     return probes.select("probe_id", F.posexplode(kmers(F.col("seq"), k)).alias("pos", "kmer")).select("kmer", "probe_id", "pos")
@@ -66,24 +54,32 @@ def _window(seq: Column, at: Column, n: int) -> Column:
     return F.substring(seq, at + 1, F.lit(n))
 
 
-def covers_full(probes: DataFrame, seqs: DataFrame, length: int, mismatches_: int = 0) -> DataFrame:
+def covers_full(probes: DataFrame, seqs: DataFrame, length: int, mismatches_: int = 0, *, own_group: bool = False) -> DataFrame:
     """Covers of probes of one length that match whole, with at most so many mismatches: (keys, rc?, probe_id, start, end).
 
     Blocks of the probes are joined with the same blocks of every window; one of them is free of mismatches,
-    so none is missed. Without mismatches this is an equality join of windows.
+    so none is missed. Without mismatches this is an equality join of windows. An index that is small enough is broadcast,
+    and windows are never shuffled. With ``own_group`` probes meet sequences of their own group only.
     """
     extra = [c for c in ("rc",) if c in seqs.columns]
     parts = exact_blocks(length, mismatches_)
     tell = lambda i: F.explode(F.array(*[F.struct(F.lit(b).alias("b"), _window(F.col(i), F.lit(a), k).alias("kmer")) for b, (a, k) in enumerate(parts)]))
-    index = probes.where(F.char_length("seq") == length).select("probe_id", F.col("seq").alias("probe"), tell("seq").alias("x")).select("probe_id", "probe", "x.b", "x.kmer")
+    group = F.col("group_id") if own_group else F.lit(0)
+    index = probes.where(F.char_length("seq") == length).select(group.alias("pg"), "probe_id", F.col("seq").alias("probe"), tell("seq").alias("x")).select("pg", "probe_id", "probe", "x.b", "x.kmer")
+    index = F.broadcast(index) if _small(index) else index
     cut = pieces(seqs.select(*KEYS, *extra, "seq"), length - 1)
     wins = cut.select(*KEYS, *extra, "from", F.posexplode(kmers(F.col("part"), length)).alias("i", "window")).select(*KEYS, *extra, (F.col("from") + F.col("i")).alias("start"), "window")
+    same = (F.col("group_id") == F.col("pg")) if own_group else F.lit(True)
     if mismatches_ == 0:
-        hit = wins.join(index, F.col("window") == F.col("probe"))
+        hit = wins.join(index, (F.col("window") == F.col("probe")) & same)
     else:
         seeds = wins.withColumn("x", tell("window")).select(*KEYS, *extra, "start", "window", F.col("x.b").alias("wb"), F.col("x.kmer").alias("wk"))
-        hit = seeds.join(index, (F.col("wb") == F.col("b")) & (F.col("wk") == F.col("kmer"))).where(mismatches(F.col("window"), F.col("probe")) <= mismatches_)
-        hit = hit.dropDuplicates([*KEYS, *extra, "start", "probe_id"])
+        hit = seeds.join(index, (F.col("wb") == F.col("b")) & (F.col("wk") == F.col("kmer")) & same)
+        # of several blocks without a mismatch the first tells of the pair
+        earlier = F.lit(False)
+        for b, (a, k) in enumerate(parts):
+            earlier = earlier | ((F.col("b") > b) & (_window(F.col("window"), F.lit(a), k) == _window(F.col("probe"), F.lit(a), k)))
+        hit = hit.where(~earlier).where(mismatches(F.col("window"), F.col("probe")) <= mismatches_)
     return hit.select(*KEYS, *extra, "probe_id", F.col("start").cast("bigint").alias("start"), (F.col("start") + length).cast("bigint").alias("end"))
 
 
@@ -102,24 +98,40 @@ def predicate(mismatches_: int, lcf: int, island: int = 0) -> Cover:
     return covers
 
 
-def covers_seeded(probes: DataFrame, seqs: DataFrame, index: DataFrame, k: int, cover: Cover, *, merge: bool = True) -> DataFrame:
+def whole_probe(probe: str, seq: str, start: int, end: int, whole_probe_: int, whole_seq: int) -> tuple[int, int] | None:
+    """A model that takes whole probes without mismatches."""
+    return (0, whole_probe_) if len(probe) == whole_probe_ and probe == seq else None
+
+
+def covers_seeded(probes: DataFrame, seqs: DataFrame, index: DataFrame, k: int, cover: Cover, *, merge: bool = True, own_group: bool = False) -> DataFrame:
     """Covers found by extending k-mer seeds: (keys, rc?, probe_id, start, end), merged or as distinct ranges.
 
-    Sequences are cut into overlapping chunks for the seed join, so a long one is shared by many tasks; probe and
-    window meet as rows of their own, once for each diagonal and seed.
+    k-mers are taken from pieces of the sequences that know the letters around them, as far as the longest probe
+    reaches; the window that a probe meets is cut from the piece, and whole sequences are never joined. An index that
+    is small enough is broadcast with its probes, so pieces aren't shuffled either.
     """
     extra = [c for c in ("rc",) if c in seqs.columns]
     keys = [*KEYS, *extra]
-    cut = pieces(seqs.select(*keys, "seq"), k - 1)
-    seeds = cut.select(*keys, "from", F.posexplode(kmers(F.col("part"), k)).alias("i", "kmer")).select(*keys, (F.col("from") + F.col("i")).alias("i"), "kmer")
-    found = seeds.join(index, "kmer").select(*keys, "i", "probe_id", "pos").distinct()
-    lengths = probes.select("probe_id", F.col("seq").alias("probe"))
-    whole = seqs.select(*keys, F.col("seq").alias("whole"))
-    rows = found.join(lengths, "probe_id").join(whole, keys)
+    group = [F.col("group_id").alias("pg")] if own_group else [F.lit(0).alias("pg")]
+    probes_ = probes.select("probe_id", F.col("seq").alias("probe"), *group)
+    reach = probes_.agg(F.coalesce(F.max(F.char_length("probe")), F.lit(1))).first()[0]
+    named = index.join(probes_, "probe_id").select("pg", "kmer", "pos", "probe_id", "probe")
+    cut = pieces_around(seqs.select(*keys, "seq"), int(reach))
+    last = F.least(F.col("size") - 1, F.col("n") - k - F.col("from"))
+    at = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda j: F.struct((F.col("from") + j).alias("i"), F.substring("part", F.col("lead") + j + 1, F.lit(k)).alias("word")))).otherwise(F.array().cast("array<struct<i:int,word:string>>"))
+    on = F.col("x.word") == F.col("kmer")
+    on = on & (F.col("group_id") == F.col("pg")) if own_group else on
+    if _small(named):
+        rows = cut.withColumn("x", F.explode(at)).join(F.broadcast(named), on)
+    else:
+        place = ["from", *keys]
+        hits = cut.select(*place, F.explode(at).alias("x")).join(named, on).select(*place, "x", "pos", "probe_id", "probe")
+        rows = hits.join(cut, place)
+    rows = rows.withColumn("i", F.col("x.i"))
     left = F.greatest(F.lit(0), F.col("i") - F.col("pos"))
-    window = F.substring("whole", left + 1, F.char_length("probe") - F.greatest(F.lit(0), F.col("pos") - F.col("i")))
-    cut = F.substring("probe", F.greatest(F.lit(0), F.col("pos") - F.col("i")) + 1, F.char_length("probe"))
-    rows = rows.select(*keys, "probe_id", left.cast("bigint").alias("left"), cut.alias("cut"), window.alias("window"), (F.col("i") - left).cast("int").alias("s"), F.char_length("probe").alias("np"), F.char_length("whole").alias("ns"))
+    over = F.greatest(F.lit(0), F.col("pos") - F.col("i"))
+    window = F.substring("part", left - F.col("from") + F.col("lead") + 1, F.char_length("probe") - over)
+    rows = rows.select(*keys, "probe_id", left.cast("bigint").alias("left"), F.substring("probe", over + 1, F.char_length("probe")).alias("cut"), window.alias("window"), (F.col("i") - left).cast("int").alias("s"), F.char_length("probe").alias("np"), F.col("n").alias("ns"))
     kinds = rows.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -48,9 +48,13 @@ def difference(a: DataFrame, b: DataFrame, owner: Sequence[str]) -> DataFrame:
     return merged(_segments(a, b, owner).where("x > 0 and y = 0"), owner)
 
 
-def overlaps(start: str, end: str, other_start, other_end):
-    """Whether two intervals share a point."""
-    return (F.col(end) > other_start) & (F.col(start) < other_end)
+def overlapping(a: DataFrame, b: DataFrame, owner: Sequence[str]) -> DataFrame:
+    """Intervals of a that share a point with one of b of the same owner, found by one sweep over both."""
+    steps = _segments(a, b, owner).where("x > 0 and y > 0").select(*owner, F.col("start").alias("at"), F.lit(None).cast("bigint").alias("to")).distinct()
+    line = Window.partitionBy(*owner).orderBy(F.desc("at"), F.col("to").isNotNull())
+    rows = a.select(*owner, F.col("start").alias("at"), F.col("end").alias("to")).unionByName(steps)
+    near = rows.withColumn("near", F.last(F.when(F.col("to").isNull(), F.col("at")), ignorenulls=True).over(line))
+    return near.where("to is not null and near < to").select(*owner, F.col("at").alias("start"), F.col("to").alias("end"))
 
 
 def scheduled(rows: DataFrame, owner: Sequence[str], tie: str | None = None) -> DataFrame:

@@ -6,9 +6,13 @@ candidates are numbered: kind (0 strided, 1 tail, 2 flank) and position.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import materialized
+
 KEYS = ("group_id", "genome_id", "chr_idx")
 
 
@@ -31,6 +35,23 @@ def pieces(seqs: DataFrame, overlap: int, sizes: tuple[int, ...] = (20_000, 250)
     return out
 
 
+def pieces_around(seqs: DataFrame, reach: int, sizes: tuple[int, ...] = (20_000, 250)) -> DataFrame:
+    """seqs in pieces that know their surroundings (n, from, size, lead, part instead of seq).
+
+    A piece is letters from .. from + size of the sequence's n; ``part`` begins ``lead`` letters before it and goes on
+    behind it, both ``reach`` letters, or to the sequence's ends.
+    """
+    keys = [c for c in seqs.columns if c != "seq"]
+    n = F.char_length("seq")
+    out = seqs.select(*keys, n.alias("n"), F.lit(0).alias("from"), n.alias("size"), F.lit(0).alias("lead"), F.col("seq").alias("part"))
+    for size in sizes:
+        at = F.when(F.col("size") > 0, F.sequence(F.lit(0), F.col("size") - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
+        out = out.select(*keys, "n", "from", "size", "lead", "part", F.explode(at).alias("at"))
+        lead = F.least(F.lit(reach), F.col("lead") + F.col("at"))
+        out = out.select(*keys, "n", (F.col("from") + F.col("at")).alias("from"), F.least(F.lit(size), F.col("size") - F.col("at")).alias("size"), lead.alias("lead"), F.substring("part", F.col("lead") + F.col("at") - lead + 1, lead + size + reach).alias("part"))
+    return out
+
+
 def run_bounds(seq: Column, letter: str, least: int) -> Column:
     """Array of (s, e) of maximal runs of a letter with at least ``least``."""
     gaps = F.transform(F.split(seq, f"{letter}{{{least},}}", -1), F.char_length)
@@ -56,30 +77,36 @@ def candidates(seqs: DataFrame, window: int, stride: int, *, n_run: int = 2, all
         small = small.when((n < allow_small) | F.col("whole").rlike(run), F.raise_error(F.lit("a sequence is too short or has a run of N"))).otherwise(F.col("whole"))
     else:
         small = small.when(n <= (skip or 0), F.lit(None).cast("string")).otherwise(F.raise_error(F.lit("a sequence is shorter than the window")).cast("string"))
-    at = lambda kind, pos: F.struct(F.lit(kind).alias("kind"), pos.cast("int").alias("pos"))
-    strided = F.transform(starts(n, window, stride), lambda i: at(0, i))
-    tail = F.when((n >= window) & (n % stride != 0), F.array(at(1, n - window))).otherwise(F.array().cast("array<struct<kind:int,pos:int>>"))
-    places = [strided, tail]
-    if flanks:
-        runs = run_bounds(F.col("whole"), "N", n_run)
-        left = F.transform(F.filter(runs, lambda r: r["s"] >= window), lambda r: at(2, r["s"] - window))
-        right = F.transform(F.filter(runs, lambda r: r["e"] + window <= n), lambda r: at(2, r["e"]))
-        places += [left, right]
     rows = rows.withColumn("small", small)
     if not allow_small:
         rows = rows.where(F.col("small").isNull())  # so that short sequences are seen
     whole = rows.where(F.col("small").isNotNull()).select(*KEYS, F.lit(0).alias("kind"), F.lit(0).alias("pos"), F.col("small").alias("seq"))
-    tiled = rows.withColumn("p", F.explode(F.concat(*places))).select(*KEYS, "p.kind", "p.pos", F.substring("whole", F.col("p.pos") + 1, F.lit(window)).alias("seq"))
+    # places are found, and windows cut, in pieces
+    cut = pieces_around(rows.where(n >= window).select(*KEYS, F.col("whole").alias("seq")), window + n_run + 1)
+    none = F.array().cast("array<struct<kind:int,pos:int>>")
+    at = lambda kind, pos: F.struct(F.lit(kind).alias("kind"), pos.cast("int").alias("pos"))
+    start, end = F.col("from"), F.col("from") + F.col("size")
+    first, last = (F.ceil(start / stride) * stride).cast("int"), F.least(end - 1, F.col("n") - window)
+    places = [F.when(first <= last, F.transform(F.sequence(first, last, F.lit(stride)), lambda i: at(0, i))).otherwise(none)]
+    places.append(F.when((F.col("n") % stride != 0) & (F.col("n") - window).between(start, end - 1), F.array(at(1, F.col("n") - window))).otherwise(none))
+    if flanks:
+        shift = F.col("from") - F.col("lead")
+        runs = F.transform(run_bounds(F.col("part"), "N", n_run), lambda r: F.struct((r["s"] + shift).alias("s"), (r["e"] + shift).alias("e")))
+        left = F.transform(F.filter(runs, lambda r: (r["s"] >= start) & (r["s"] < end) & (r["s"] >= window)), lambda r: at(2, r["s"] - window))
+        right = F.transform(F.filter(runs, lambda r: (r["e"] >= start) & (r["e"] < end) & (r["e"] + window <= F.col("n"))), lambda r: at(2, r["e"]))
+        places.append(F.when(F.contains("part", F.lit("N" * n_run)), F.concat(left, right)).otherwise(none))
+    tiled = cut.withColumn("p", F.explode(F.concat(*places))).select(*KEYS, "p.kind", "p.pos", F.substring("part", F.col("p.pos") - F.col("from") + F.col("lead") + 1, F.lit(window)).alias("seq"))
     out = tiled.where(~F.col("seq").rlike(run))
     return out.unionByName(whole) if allow_small else out
 
 
 def fragments(seqs: DataFrame, size: int, *, full_end: bool = False) -> DataFrame:
     """Consecutive pieces (keys, pos, seq); the last one is short, or with ``full_end`` the last ``size`` letters."""
-    n = F.char_length("seq")
-    rows = seqs.where(n > 0).withColumn("pos", F.explode(F.sequence(F.lit(0), n - 1, F.lit(size))))
-    pos = F.when(F.lit(full_end) & (F.col("pos") + size > n), F.greatest(n - size, F.lit(0))).otherwise(F.col("pos"))
-    return rows.select(*KEYS, pos.alias("pos"), F.substring("seq", pos + 1, F.lit(size)).alias("seq"))
+    reach = size if full_end else 0
+    cut = pieces_around(seqs.where(F.char_length("seq") > 0).select(*KEYS, "seq"), reach, (size * max(1, 20_000 // size), size))
+    short = F.lit(full_end) & (F.col("size") < size)
+    pos = F.when(short, F.greatest(F.col("n") - size, F.lit(0))).otherwise(F.col("from"))
+    return cut.select(*KEYS, pos.alias("pos"), F.substring("part", pos - F.col("from") + F.col("lead") + 1, F.when(short, F.lit(size)).otherwise(F.col("size"))).alias("seq"))
 
 
 def genome_sizes(seqs: DataFrame) -> DataFrame:
@@ -95,9 +122,21 @@ def offsets(seqs: DataFrame) -> DataFrame:
     return seqs.withColumn("offset", F.coalesce(F.sum(F.char_length("seq")).over(before), F.lit(0)).cast("bigint"))
 
 
+def placed(rows: DataFrame, group: str, order: Sequence[str], name: str) -> DataFrame:
+    """rows with their place (from 0) in the order of their group, as a table; a group is sorted by many tasks.
+
+    Rows are dealt by ranges, sorted and counted there; ``order`` must tell rows apart.
+    """
+    some = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    some = materialized(some.withColumns({"part_": F.spark_partition_id(), "at_": F.monotonically_increasing_id()}), "placed")
+    starts = some.groupBy(group, "part_").agg(F.min("at_").alias("first_"), F.count(F.lit(1)).alias("n_"))
+    before = F.sum("n_").over(Window.partitionBy(group).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1))
+    starts = starts.withColumn("before_", F.coalesce(before, F.lit(0)))
+    return some.join(starts, [group, "part_"]).select(*rows.columns, (F.col("before_") + F.col("at_") - F.col("first_")).cast("bigint").alias(name))
+
+
 def numbered(candidates_: DataFrame) -> DataFrame:
     """Distinct windows of each group in order of first occurrence: (group_id, probe_id, seq, times)."""
     first = F.min(F.struct("genome_id", "chr_idx", "kind", "pos"))
-    once = candidates_.groupBy("group_id", "seq").agg(first.alias("first"), F.count(F.lit(1)).alias("times"))
-    line = Window.partitionBy("group_id").orderBy("first", "seq")
-    return once.select("group_id", (F.row_number().over(line) - 1).cast("bigint").alias("probe_id"), "seq", "times")
+    once = candidates_.groupBy("group_id", "seq").agg(first.alias("first"), F.count(F.lit(1)).alias("times")).select("group_id", "seq", "times", "first.*")
+    return placed(once, "group_id", ["genome_id", "chr_idx", "kind", "pos", "seq"], "probe_id").select("group_id", "probe_id", "seq", "times")

@@ -33,6 +33,18 @@ def bounds(table: DataFrame, params: Sequence[str]) -> DataFrame:
     return table.groupBy("dataset").agg(*[f(p).alias(f"{p}_{n}") for p in params for f, n in ((F.min, "low"), (F.max, "high"))])
 
 
+def standard_bounds(table: DataFrame, m: str, e: str, step: float = 0.001) -> DataFrame:
+    """(dataset, m_low, m_high, e_low, e_high) between which every point has computed values around it.
+
+    Values of m count only if they were computed with both the least and the largest e of the dataset. Upper bounds are
+    less by ``step``, which a search may go over them.
+    """
+    ends = table.groupBy("dataset").agg(F.min(e).alias("e_low"), F.max(e).alias("e_high"))
+    both = table.join(ends, "dataset").where((F.col(e) == F.col("e_low")) | (F.col(e) == F.col("e_high"))).groupBy("dataset", m).agg(F.min((F.col(e))).alias("a"), F.max(F.col(e)).alias("z"), F.first("e_low").alias("e_low"), F.first("e_high").alias("e_high"))
+    full = both.where("a = e_low and z = e_high").groupBy("dataset").agg(F.min(m).alias("m_low"), F.max(m).alias("m_high"), F.first("e_low").alias("e_low"), F.first("e_high").alias("e_high"))
+    return full.select("dataset", "m_low", (F.col("m_high") - step).alias("m_high"), "e_low", (F.col("e_high") - step).alias("e_high"))
+
+
 def rectangle_interpolated(points: DataFrame, table: DataFrame, x: str, y: str) -> DataFrame:
     """points (dataset, x, y) with num_probes, bilinear in the smallest computed rectangle around each.
 

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.sequences import dna_of_text, identifier, jaccard_of_mash_column, kmers, reverse_complement, round_down, round_up, signature
 from spanloom.operators import adapters, analysis, cluster, cover, design, filters, intervals, near_duplicates, tiling
-from spanloom.plans import pipeline, pool
+from spanloom.plans import coverage, pipeline, pool
 
 L, S = 30, 15
+#: Sequences shorter than windows are taken whole from so many letters on.
+SMALL = 5
 GROUPS = ("de", "en", "es", "fr")
 
 
@@ -67,6 +69,23 @@ def seq_kmer_counts(spark, sf_dir):
     return tiling.pieces(genomes(spark, sf_dir), 5).select(F.explode(kmers(F.col("part"), 6)).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
+def small_or_tall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genomes without short ones that have a run of N, which are an error."""
+    return genomes(spark, sf_dir).where((F.char_length("seq") >= L) | ~F.contains("seq", F.lit("NN")))
+
+
+def seq_candidates_small(spark, sf_dir):
+    return tiling.candidates(small_or_tall(spark, sf_dir), L, S, allow_small=SMALL, skip=SMALL - 1).select("group_id", "genome_id", "kind", F.col("pos").cast("bigint").alias("pos"), "seq")
+
+
+def join_short(spark, sf_dir):
+    """Where sequences that are shorter than windows occur."""
+    n = F.char_length("seq")
+    p = small_or_tall(spark, sf_dir).where((n >= SMALL) & (n < L)).select("seq").distinct().select(F.lit(0).alias("group_id"), F.xxhash64("seq").alias("probe_id"), "seq")
+    found = cover.covers_seeded(p, genomes(spark, sf_dir), cover.full_index(p, SMALL).where("pos = 0"), SMALL, cover.whole_probe)
+    return named(found, p).select("genome_id", "seq", "start", "end")
+
+
 def seq_candidates(spark, sf_dir):
     return windows(genomes(spark, sf_dir)).select("group_id", "genome_id", "kind", F.col("pos").cast("bigint").alias("pos"), "seq")
 
@@ -185,7 +204,7 @@ def coverage_depth(spark, sf_dir):
 
 def coverage_sliding(spark, sf_dir):
     found = benchmark_covers(spark, sf_dir, strands=True).drop("chr_idx")
-    return analysis.sliding(found, tiling.genome_sizes(genomes(spark, sf_dir)), 500, 250).where("not rc").select("genome_id", "middle", F.round("depth", 9).alias("depth"))
+    return analysis.sliding(found, tiling.genome_sizes(genomes(spark, sf_dir)), 500, 250).select("genome_id", "rc", "middle", F.round("depth", 9).alias("depth"))
 
 
 def coverage_map_counts(spark, sf_dir):
@@ -197,6 +216,14 @@ def coverage_console(spark, sf_dir):
     return analysis.console(analysis.report(found, tiling.genome_sizes(genomes(spark, sf_dir))))
 
 
+def analysis_matrix(spark, sf_dir):
+    name = F.lit("other")
+    for i, g in enumerate(GROUPS):
+        name = F.when(F.col("group_id") == i, g).otherwise(name)
+    found = coverage.analysed(genomes(spark, sf_dir).withColumn("group_name", name), probes(spark, sf_dir), pipeline.DesignConfig(probe_length=L, probe_stride=S, kmer=15, small_skip=L - 1)).matrix()
+    return found.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes])
+
+
 def rank_groups_hit(spark, sf_dir):
     return named(design.groups_hit(benchmark_covers(spark, sf_dir, strands=True)), probes(spark, sf_dir)).select("seq", "hits")
 
@@ -233,6 +260,11 @@ def pool_bounds(spark, sf_dir):
     return pool.bounds(_grid(spark, sf_dir), ["m", "e"])
 
 
+def pool_standard_bounds(spark, sf_dir):
+    b = pool.standard_bounds(_grid(spark, sf_dir), "m", "e")
+    return b.select("dataset", "m_low", F.round("m_high", 9).alias("m_high"), "e_low", F.round("e_high", 9).alias("e_high"))
+
+
 def pool_search(spark, sf_dir):
     counts = pool.counts_of(_grid(spark, sf_dir), ["m", "e"])
     # more tolerant parameters never need more probes
@@ -264,7 +296,7 @@ def near_dominating(spark, sf_dir):
 
 
 def design_probes(spark, sf_dir):
-    return pipeline.designed(genomes(spark, sf_dir), pipeline.DesignConfig(probe_length=L, probe_stride=S, kmer=15, small_skip=L - 1, coverage=0.5)).select("seq")
+    return pipeline.designed(genomes(spark, sf_dir), pipeline.DesignConfig(probe_length=L, probe_stride=S, kmer=15, small_skip=L - 1)).select("seq")
 
 
 def design_adapters(spark, sf_dir):
@@ -287,7 +319,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NAMES = """seq_stats seq_reverse_complement seq_fragments seq_kmer_counts seq_candidates dedup_multiplicity dedup_union_distinct filter_fasta_membership
 filter_poly filter_first_per_group filter_sample_per_group expand_n probe_identifier probe_reverse_complements hamming_pairs jaccard_pairs minhash_signatures
-mash_distances join_exact join_mismatch join_seeded interval_merge interval_union interval_intersection interval_difference interval_lengths interval_schedule
+mash_distances join_exact join_mismatch join_seeded join_short seq_candidates_small analysis_matrix pool_standard_bounds interval_merge interval_union interval_intersection interval_difference interval_lengths interval_schedule
 coverage_report coverage_depth coverage_sliding coverage_map_counts coverage_console rank_groups_hit rank_avoided rank_probes graph_components pool_interpolation
 pool_bounds pool_search near_hamming near_jaccard near_redundant near_dominating design_probes design_adapters cluster_simple cluster_average""".split()
 
@@ -324,6 +356,7 @@ _ALL = f"a AS (SELECT group_id, genome_id, s AS start, s + {L} AS \"end\", subst
 _RC = "reverse(translate(seq, 'ACGT', 'TGCA'))"
 _BOTH = f"b AS (SELECT group_id, genome_id, false AS rc, seq FROM g UNION ALL SELECT group_id, genome_id, true, {_RC} FROM g)"
 _C = f"c AS (SELECT group_id, genome_id, rc, s AS start, s + {L} AS \"end\", p.seq FROM (SELECT *, unnest(range(0, length(seq) - {L} + 1)) AS s FROM b WHERE length(seq) >= {L}) x JOIN p ON p.seq = substr(x.seq, s + 1, {L}))"
+_NAME = "CASE group_id " + " ".join(f"WHEN {i} THEN '{g}'" for i, g in enumerate(GROUPS)) + " ELSE 'other' END"
 _COVERS = f"{_G}, {_I}, {_P}, {_BOTH}, {_C}"
 _LINES = "l AS (SELECT l_suppkey, (l_partkey % 1000)::BIGINT AS start, (l_partkey % 1000 + l_quantity::BIGINT)::BIGINT AS \"end\", l_returnflag, l_linestatus FROM lineitem)"
 
@@ -357,9 +390,6 @@ SQL: dict[str, str] = {
     "filter_fasta_membership": f"WITH {_G}, {_I}, {_w('w', 'g')}, {_w('iw', 'i')}, f AS (SELECT seq, max(genome_id) AS place FROM iw GROUP BY seq) SELECT genome_id, pos, kind, seq, place FROM w JOIN f USING (seq)",
     "filter_poly": f"WITH {_G}, {_w('w', 'g')} SELECT genome_id, kind, pos FROM w WHERE NOT ((contains(seq, 'AAAAAA') OR contains(seq, 'TTTTTT')) AND ({_poly('A')} OR {_poly('T')}))",
     "filter_first_per_group": f"WITH {_G} SELECT group_id, genome_id FROM (SELECT *, dense_rank() OVER (PARTITION BY group_id ORDER BY genome_id) AS r FROM g) WHERE r <= 20",
-    "expand_n": f"""WITH {_G}, {_w('w', 'g')}, f AS (SELECT DISTINCT seq FROM w WHERE length(seq) - length(replace(seq, 'N', '')) <= 2),
-one AS (SELECT regexp_replace(seq, 'N', x) AS seq FROM f, (VALUES ('A'), ('T'), ('C'), ('G')) t(x))
-SELECT DISTINCT regexp_replace(seq, 'N', x) AS seq FROM one, (VALUES ('A'), ('T'), ('C'), ('G')) t(x)""",
     "hamming_pairs": f"""WITH {_G}, {_w('w', 'g')}, d AS (SELECT DISTINCT seq FROM w), k AS (SELECT seq, unnest([0, 10, 20]) AS o FROM d), h AS (SELECT seq, o, substr(seq, o + 1, 10) AS b FROM k)
 SELECT DISTINCT x.seq AS a, y.seq AS b, hamming(x.seq, y.seq)::INTEGER AS mismatches FROM h x JOIN h y ON x.o = y.o AND x.b = y.b AND x.seq < y.seq WHERE hamming(x.seq, y.seq) <= 2""",
     "jaccard_pairs": f"""WITH {_I}, k AS (SELECT genome_id, list_distinct(list_transform(range(1, length(seq) - 4), lambda q: substr(seq, q, 6))) AS w FROM i WHERE length(seq) >= 6)
@@ -372,7 +402,7 @@ SELECT genome_id, array_to_string(list_sort(flatten(list_transform(range(0, ceil
     "join_mismatch": f"""WITH {_G}, {_I}, {_P}, {_ALL}, s AS (SELECT *, unnest([0, 10, 20]) AS o FROM p), k AS (SELECT seq, o, substr(seq, o + 1, 10) AS b FROM s),
 x AS (SELECT *, unnest([0, 10, 20]) AS o FROM a)
 SELECT DISTINCT genome_id, start, "end", seq FROM x JOIN k ON x.o = k.o AND substr(win, x.o + 1, 10) = b WHERE hamming(win, seq) <= 2""",
-    "interval_merge": f"""WITH {_LINES}, m AS (SELECT DISTINCT l_suppkey, start, "end" FROM l WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND "end" % 7 = 0),
+    "interval_merge": f"""WITH {_LINES}, m AS (SELECT DISTINCT l_suppkey, start, "end" FROM l),
 f AS (SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY l_suppkey ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM m),
 k AS (SELECT *, sum(new) OVER (PARTITION BY l_suppkey ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM f)
 SELECT l_suppkey, min(start) AS start, max("end") AS "end" FROM k GROUP BY l_suppkey, island""",
@@ -391,9 +421,24 @@ SELECT genome_id, rc, coalesce(bp, 0)::BIGINT AS bp_covered, round(coalesce(bp,
     "coverage_depth": f"""WITH {_COVERS}, e AS (SELECT genome_id, rc, start AS z, 1 AS v FROM c UNION ALL SELECT genome_id, rc, "end", -1 FROM c),
 s AS (SELECT genome_id, rc, z, sum(v) AS v FROM e GROUP BY ALL), q AS (SELECT genome_id, rc, z AS start, lead(z) OVER w AS "end", sum(v) OVER w AS depth FROM s WINDOW w AS (PARTITION BY genome_id, rc ORDER BY z))
 SELECT genome_id, rc, start, "end", depth::BIGINT AS depth FROM q WHERE depth > 0""",
-    "coverage_sliding": f"""WITH {_COVERS}, z AS (SELECT DISTINCT genome_id, greatest(0, least(s, size - 500)) AS a, least(greatest(0, least(s, size - 500)) + 500, size) AS z FROM (SELECT genome_id, length(seq) AS size, unnest(range(0, length(seq), 250)) AS s FROM g)),
-t AS (SELECT z.genome_id, z.a, z.z, sum(least(c."end", z.z) - greatest(c.start, z.a)) AS n FROM z JOIN c ON c.genome_id = z.genome_id AND NOT c.rc AND c.start < z.z AND c."end" > z.a GROUP BY ALL)
-SELECT genome_id, a + 250.0::DOUBLE AS middle, round(coalesce(n, 0)::DOUBLE / (z - a), 9) AS depth FROM z LEFT JOIN t USING (genome_id, a, z)""",
+    "coverage_sliding": f"""WITH {_COVERS}, z AS (SELECT DISTINCT genome_id, rc, greatest(0, least(s, size - 500)) AS a, least(greatest(0, least(s, size - 500)) + 500, size) AS z FROM (SELECT genome_id, rc, length(seq) AS size, unnest(range(0, length(seq), 250)) AS s FROM b)),
+t AS (SELECT z.genome_id, z.rc, z.a, z.z, sum(least(c."end", z.z) - greatest(c.start, z.a)) AS n FROM z JOIN c ON c.genome_id = z.genome_id AND c.rc = z.rc AND c.start < z.z AND c."end" > z.a GROUP BY ALL)
+SELECT genome_id, rc, a + 250.0::DOUBLE AS middle, round(coalesce(n, 0)::DOUBLE / (z - a), 9) AS depth FROM z LEFT JOIN t USING (genome_id, rc, a, z)""",
+    "analysis_matrix": f"""WITH {_COVERS}, n AS (SELECT genome_id, rc, count(*) AS bp FROM (SELECT DISTINCT genome_id, rc, unnest(range(start, "end")) AS x FROM c) GROUP BY ALL),
+d AS (SELECT genome_id, rc, sum("end" - start) AS raw FROM c GROUP BY ALL), z AS (SELECT group_id, genome_id, rc, length(seq) AS size, length(regexp_replace(seq, '[^ACGT]', '', 'g')) AS u FROM b)
+SELECT {_NAME} || ', genome ' || genome_id || CASE WHEN rc THEN ' (rc)' ELSE '' END AS "Genome", coalesce(bp, 0)::BIGINT AS "Num bases covered", round(coalesce(bp, 0) / nullif(size, 0), 9) AS "Frac bases covered",
+  round(coalesce(bp, 0) / nullif(u, 0), 9) AS "Frac bases covered over unambig", round(coalesce(raw, 0)::DOUBLE / nullif(size, 0), 9) AS "Average coverage/depth", round(coalesce(raw, 0)::DOUBLE / nullif(u, 0), 9) AS "Average coverage/depth over unambig"
+FROM z LEFT JOIN n USING (genome_id, rc) LEFT JOIN d USING (genome_id, rc)""",
+    "seq_candidates_small": f"""WITH {_G}, t AS (SELECT * FROM g WHERE length(seq) >= {L} OR NOT contains(seq, 'NN')), {_w('w', 't')}
+SELECT group_id, genome_id, kind, pos, seq FROM w UNION ALL SELECT group_id, genome_id, 0, 0, seq FROM t WHERE length(seq) >= {SMALL} AND length(seq) < {L}""",
+    "join_short": f"""WITH {_G}, p AS (SELECT DISTINCT seq FROM g WHERE length(seq) >= {SMALL} AND length(seq) < {L} AND NOT contains(seq, 'NN')), k AS (SELECT DISTINCT length(seq) AS k FROM p),
+o AS (SELECT genome_id, s AS start, s + k AS "end", substr(seq, s + 1, k) AS seq FROM (SELECT genome_id, seq, k, unnest(range(0, length(seq) - k + 1)) AS s FROM g JOIN k ON length(seq) >= k) x WHERE substr(x.seq, s + 1, k) IN (SELECT seq FROM p)),
+f AS (SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY genome_id, seq ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM o),
+i AS (SELECT *, sum(new) OVER (PARTITION BY genome_id, seq ORDER BY start ROWS UNBOUNDED PRECEDING) AS island FROM f)
+SELECT genome_id, seq, min(start) AS start, max("end") AS "end" FROM i GROUP BY genome_id, seq, island""",
+    "pool_standard_bounds": """WITH t AS (SELECT p_brand AS dataset, floor(p_size / 10)::DOUBLE AS m, ((p_partkey % 4) * 10)::DOUBLE AS e FROM part GROUP BY ALL),
+x AS (SELECT dataset, min(e) AS lo, max(e) AS hi FROM t GROUP BY dataset), b AS (SELECT t.dataset, m, lo, hi FROM t JOIN x USING (dataset) WHERE e = lo OR e = hi GROUP BY ALL HAVING min(e) = lo AND max(e) = hi)
+SELECT dataset, min(m) AS m_low, round(max(m) - 0.001, 9) AS m_high, any_value(lo) AS e_low, round(any_value(hi) - 0.001, 9) AS e_high FROM b GROUP BY dataset""",
     "coverage_map_counts": f"WITH {_COVERS} SELECT p.seq, count(DISTINCT c.genome_id) AS count FROM p LEFT JOIN c ON c.seq = p.seq AND NOT rc GROUP BY p.seq",
     "rank_groups_hit": f"WITH {_COVERS} SELECT seq, count(DISTINCT group_id) AS hits FROM c GROUP BY seq",
     "rank_avoided": f"WITH {_COVERS} SELECT seq, count(*) AS bp FROM (SELECT DISTINCT seq, genome_id, rc, unnest(range(start, \"end\")) AS x FROM c) GROUP BY seq",

@@ -72,6 +72,18 @@ def accession_url(base: str, accessions: Sequence[str], key: str | None = None)
     return base + "?" + urlencode({"db": "nuccore", "rettype": "fasta", "retmode": "text", "id": ",".join(accessions), **({"api_key": key} if key else {})})
 
 
+def neighbors_url(base: str, taxon: int | str) -> str:
+    """Where the neighbour table of a taxon is."""
+    return base + "?" + urlencode({"taxid": taxon, "cmd": "download2"})
+
+
+def influenza_url(base: str, database: str = "genomeset") -> str:
+    """Where the influenza table of a database (genomeset or influenza) is."""
+    if database not in ("genomeset", "influenza"):
+        raise ValueError("the database is genomeset or influenza")
+    return f"{base.rstrip('/')}/{database}.dat.gz"
+
+
 def fetched(accessions: Sequence[str], fetch: Callable[[list[str]], str], *, batch: int = 100, per_second: float = 2, tries: int = 5, wait: float = 5, sleep: Callable[[float], None] = time.sleep, seed: int = 0) -> list[str]:
     """Texts of batches of accessions from an injected function; waits double after failures, with jitter."""
     rng, out = random.Random(seed), []

@@ -89,11 +89,95 @@ def test_poly_and_expansion(spark):
     assert filters.expanded(spark.createDataFrame([("NNNNN",)], "seq string"), 2).count() == 16
 
 
+def plain_windows(text, window, stride):
+    """Strided windows, the tail, and those beside runs of two N or more, by walking the text."""
+    n, out = len(text), []
+    if n >= window:
+        out += [(0, i) for i in range(0, n - window + 1, stride)] + [(1, n - window)] * (n % stride != 0)
+        i = 0
+        while i < n:
+            j = i
+            while j < n and text[j] == "N":
+                j += 1
+            if j - i >= 2:
+                out += [(2, i - window)] * (i >= window) + [(2, j)] * (j + window <= n)
+            i = max(j, i + 1)
+    return sorted((k, p, text[p : p + window]) for k, p in out if "NN" not in text[p : p + window])
+
+
+def test_windows_of_long_texts(spark):
+    """Windows, fragments and pieces are those of the whole text, over the borders of pieces."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("ACGTN", [6, 6, 6, 6, 5], k=k)) for k in (251, 600, 2003, 45_000)] + ["N" * 700, "A" * 300 + "N" * 600 + "C" * 301, "ACGT" * 7 + "AC"]
+    df = seqs(spark, *texts)
+    got = {}
+    for r in tiling.candidates(df, 30, 15).collect():
+        got.setdefault(r.genome_id, []).append((r.kind, r.pos, r.seq))
+    assert {i: sorted(v) for i, v in got.items()} == {i: w for i, t in enumerate(texts) if (w := plain_windows(t, 30, 15))}
+    for size, full in ((500, False), (500, True), (30_000, True)):
+        parts = sorted((r.genome_id, r.pos, r.seq) for r in tiling.fragments(df, size, full_end=full).collect())
+        want = []
+        for i, t in enumerate(texts):
+            for p in range(0, len(t), size):
+                q = max(0, len(t) - size) if full and p + size > len(t) else p
+                want.append((i, q, t[q : q + size]))
+        assert parts == sorted(want)
+    first = {}
+    for i, t in enumerate(texts):
+        for w in plain_windows(t, 30, 15):
+            first.setdefault(w[2], (i, w[0], w[1]))
+    order = sorted(first, key=lambda w: (first[w], w))
+    assert [r.seq for r in tiling.numbered(tiling.candidates(df, 30, 15)).orderBy("probe_id").collect()] == order
+
+
 def test_blocks():
-    assert [cover.block_length(100, m) for m in range(6)] == [100, 50, 25, 25, 20, 10]
-    assert (cover.block_length(10, 1), cover.block_length(8, 3)) == (5, 2)
+    assert cover.exact_blocks(10, 2) == [(0, 3), (3, 3), (6, 4)]
     with pytest.raises(ValueError):
-        cover.block_length(10, 1, 6)
+        cover.exact_blocks(3, 3)
+
+
+def test_seeded_covers_in_long_texts(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("ACGT", k=k)) for k in (40, 700, 21_000)]
+    found = [(i, p, texts[i][p : p + 30]) for i, t in enumerate(texts) for p in rng.sample(range(len(t) - 29), 8)]
+    probes = spark.createDataFrame([(k, s) for k, (_, _, s) in enumerate(found)], "probe_id bigint, seq string")
+    want = {(g, k, t.find(s, at)) for k, (_, _, s) in enumerate(found) for g, t in enumerate(texts) for at in range(len(t)) if t.startswith(s, at)}
+    for few in (1, 10**6):
+        old, cover.BROADCAST_ROWS = cover.BROADCAST_ROWS, few
+        try:
+            got = {(r.genome_id, r.probe_id, r.start) for r in cover.covers_seeded(probes, seqs(spark, *texts), cover.full_index(probes, 12), 12, cover.predicate(0, 30)).collect()}
+            exact = {(r.genome_id, r.probe_id, r.start) for r in cover.covers_full(probes, seqs(spark, *texts), 30).collect()}
+        finally:
+            cover.BROADCAST_ROWS = old
+        assert got == exact == want
+
+
+def test_shifted_pairs_miss_none(spark):
+    rng = random.Random(9)
+    texts = sorted({"".join(rng.choices("AC", k=12)) for _ in range(60)})
+    df = spark.createDataFrame([(0, i, t, 1) for i, t in enumerate(texts)], "group_id int, probe_id bigint, seq string, times int")
+    near = lambda a, b: any(sum(x != y for x, y in zip(a[d:], b, strict=False)) <= 1 for d in range(4))
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if near(texts[i], texts[j]) or near(texts[j], texts[i])}
+    assert {(r.a, r.b) for r in near_duplicates.shifted_pairs(df, 3, 1).collect()} == want
+
+
+def test_hamming_pairs_and_hashes(spark):
+    """The block join misses none; hashes report about what they promise, and nothing else."""
+    rng = random.Random(2)
+    base = ["".join(rng.choices("ACGT", k=40)) for _ in range(40)]
+    flip = lambda t, k: "".join(rng.choice("ACGT".replace(c, "")) if i in at else c for at in [set(rng.sample(range(40), k))] for i, c in enumerate(t))
+    texts = sorted({x for t in base for x in (t, *(flip(t, rng.randrange(1, 4)) for _ in range(6)))})
+    df = spark.createDataFrame([(0, i, t, 1) for i, t in enumerate(texts)], "group_id int, probe_id bigint, seq string, times int")
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if sum(a != b for a, b in zip(texts[i], texts[j], strict=True)) <= 3}
+    pairs = lambda d: {(r.a, r.b) for r in d.collect()}
+    assert pairs(near_duplicates.hamming_pairs(df, 40, 3)) == want
+    some = pairs(near_duplicates.hamming_lsh_pairs(df, 40, 3, k=8, report=0.9))
+    assert some <= want and len(some) >= 0.8 * len(want)
+    k = {i: {t[x : x + 6] for x in range(35)} for i, t in enumerate(texts)}
+    alike = {(i, j) for i in k for j in k if i < j and 1 - len(k[i] & k[j]) / len(k[i] | k[j]) <= 0.5}
+    some = pairs(near_duplicates.minhash_lsh_pairs(df, 0.5, kmer=6, k=2, report=0.9))
+    assert some <= alike and len(some) >= 0.8 * len(alike)
+    assert pairs(near_duplicates.jaccard_pairs(df, 6, 0.5)) == alike
 
 
 def test_full_covers_miss_none(spark):
@@ -130,7 +214,13 @@ def test_near_duplicates(spark):
     more = spark.createDataFrame([(0, 10 + i, t, 1) for i, t in enumerate(["GGCTTACTGA", "GGCTTACTGA", "GGCTTTCTGA", "GGCTTACTAT"])], df.schema)
     got = {r.seq for r in near_duplicates.without_near(df.unionByName(more), hamming=2).collect()}
     assert len(got) == 2 and "GGCTTACTGA" in got
-    assert near_duplicates.hamming_lsh_pairs(df, 10, 2, k=2, report=0.99).count() <= near_duplicates.hamming_pairs(df, 10, 2).count()
     pairs = near_duplicates.redundant_pairs(df, near_duplicates.common_stretch_redundant(8, 1), 3)
-    assert near_duplicates.without_redundant(df, pairs).count() >= 1
-    assert near_duplicates.dominating(df, pairs).count() >= 1
+    near = {(a, b) for a in range(4) for b in range(a + 1, 4) if kernels.longest_common(texts[a], texts[b], 1)[0] >= 8}
+    assert {(r.a, r.b) for r in pairs.collect()} == near and near
+    kept = []
+    for i in range(4):
+        if not any((j, i) in near for j in kept):
+            kept.append(i)
+    assert sorted(r.probe_id for r in near_duplicates.without_redundant(df, pairs).collect()) == kept
+    chosen = {r.probe_id for r in near_duplicates.dominating(df, pairs).collect()}
+    assert all(i in chosen or any((min(i, j), max(i, j)) in near for j in chosen) for i in range(4))

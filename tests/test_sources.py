@@ -1,6 +1,8 @@
 import gzip
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.plans.pipeline import load_function
 from spanloom.sources import fasta, tables
@@ -20,6 +22,49 @@ def test_fasta(spark, tmp_path):
     assert fasta.read(spark, str(tmp_path / "out")).count() == 2
     with pytest.raises(ValueError):
         list(fasta.parse(">a\nA\n\nC\n"))
+    for bad in (">a\nA\n\nC\n", "AC\n>b\nG\n"):
+        (tmp_path / "bad.fasta").write_text(bad)
+        with pytest.raises(Exception, match="without a header"):
+            fasta.read(spark, str(tmp_path / "bad.fasta")).collect()
+
+
+def test_fasta_is_split_by_records(spark, tmp_path):
+    """A file over several tasks gives the records of the parser, in order."""
+    rng = random.Random(1)
+    seq = lambda: "\n".join("".join(rng.choices("ACGT", k=60)) for _ in range(rng.randrange(1, 9)))
+    text = "\n\n" + "".join(f">r{i} a\r\n{seq()}\n" + "\n" * rng.randrange(3) for i in range(400))
+    (tmp_path / "big.fasta").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = fasta.records(spark, str(tmp_path / "big.fasta"))
+        assert spark.read.option("lineSep", "\n>").text(str(tmp_path / "big.fasta")).rdd.getNumPartitions() > 4
+        assert [(r.header, r.seq) for r in rows.orderBy("seq_index").collect()] == list(fasta.parse(text))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_chromosomes_and_datasets(spark, tmp_path):
+    (tmp_path / "a.fasta").write_text(">g2|s1\nAA\n>g1|s1\nCC\n>g2|s2\nGG\n>g2|s1\nTT\n")
+    (tmp_path / "b.fasta").write_text(">g1|s2\nAC\n")
+    rows = fasta.read(spark, str(tmp_path / "a.fasta")).unionByName(fasta.read(spark, str(tmp_path / "b.fasta")))
+    part = lambda i: lambda h: F.split(h, r"\|")[i]
+    got = fasta.chromosomes(rows, part(1), part(0))
+    assert sorted((r.genome_id, r.chr_idx, r.chr_name, r.seq) for r in got.collect()) == [(0, 0, "s1", "TT"), (0, 1, "s2", "GG"), (1, 0, "s1", "CC"), (1, 1, "s2", "AC")]
+    by_file = fasta.chromosomes(rows, lambda h: h)
+    assert sorted((r.genome_id, r.chr_idx, r.seq) for r in by_file.collect()) == [(0, 0, "TT"), (0, 1, "CC"), (0, 2, "GG"), (1, 0, "AC")]
+    asked = []
+
+    def fetch(taxon, segment):
+        asked.append((taxon, segment))
+        return str(tmp_path / "b.fasta")
+
+    sets = fasta.datasets(spark, [str(tmp_path / "a.fasta"), "download:123-4"], fetch)
+    assert asked == [("123", "4")] and sorted({(r.group_id, r.group_name) for r in sets.collect()}) == [(0, "a.fasta"), (1, "taxid:123")]
+    for bad in ("collection:x", "download:1", str(tmp_path / "no.fasta")):
+        with pytest.raises(ValueError):
+            fasta.datasets(spark, [bad])
+    assert tables.neighbors_url("http://h/x", 5) == "http://h/x?taxid=5&cmd=download2" and tables.influenza_url("ftp://h/I/").endswith("/I/genomeset.dat.gz")
 
 
 def test_tables(spark, tmp_path):
