@@ -209,3 +209,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     renamed = docs.select([F.col(f"`{c}`").alias(f"c{i}_") for i, c in enumerate(docs.columns)])
     hits = find_hits(renamed, benchmark, text_col=f"c{docs.columns.index(text_col)}_", **how)
     return hits.where(F.size("hit_.hits") == 0).select([F.col(f"c{i}_").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def oracle(guarantee: int = GUARANTEE) -> str:
+    """DuckDB SQL with the rows of ``judged``: every window of items against every window of documents."""
+    low = lambda t: f"translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = lambda t: rf"regexp_extract_all({low(t)}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words("text")} AS w FROM documents),
+i AS (SELECT coalesce(item_id::VARCHAR, '') AS id, {words("text")} AS w FROM benchmark),
+n AS (SELECT id, w, least({guarantee}, len(w)) AS k FROM i WHERE len(w) > 0),
+win AS (SELECT DISTINCT id, k, array_to_string(w[p : p + k - 1], ' ') AS g FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM n)),
+ks AS (SELECT DISTINCT k FROM win),
+dw AS (SELECT r, p, k, array_to_string(w[p : p + k - 1], ' ') AS g FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, ks WHERE len(w) >= k)),
+hit AS (SELECT r, p, dw.k, id FROM dw JOIN win ON win.k = dw.k AND win.g = dw.g),
+covered AS (SELECT r, count(DISTINCT x) AS n FROM (SELECT r, unnest(range(p, p + k)) AS x FROM hit) GROUP BY r),
+found AS (SELECT r, count(*) AS n, sha256(string_agg(id, ',' ORDER BY id)) AS s FROM (SELECT DISTINCT r, id FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS n_hit, coalesce(found.n, 0)::BIGINT AS n_items, coalesce(found.s, sha256('')) AS items_sha256, covered.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
+"""

@@ -65,6 +65,8 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 SQL["op2_license_scan"] = license_scan.oracle()
+SQL["op8_url_filter"] = url_filter.oracle()
+SQL["op10_decontamination"] = decontaminate.oracle()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

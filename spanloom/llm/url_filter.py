@@ -122,3 +122,33 @@ def judged(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", h
     rows = rows.withColumns({"rule": rule, "ruled_": verdict}).join(ranks, F.col("host") == F.col("ranked_"), "left").na.fill(0.0, ["trust", "distrust"])
     method = F.when(F.col("distrust") > limit * F.col("trust"), F.lit("block")).otherwise(F.lit("allow"))
     return rows.select(id_col, "host", "path", "rule", F.coalesce("ruled_", method).alias("verdict"), "trust", "distrust")
+
+
+def oracle(rules: Sequence[tuple[str, str]] = RULES, limit: float = LIMIT, damping: float = DAMPING, rounds: int = 64) -> str:
+    """DuckDB SQL with page_id, host, path, rule and verdict of ``judged``, ranks by so many rounds one after the other."""
+    rest = r"CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END"
+    fits = ", ".join(f"('{what}', '{text}', '{text.partition('/')[0]}', '/{text.partition('/')[2]}')" for what, text in rules)
+    link = LINK.replace("'", "''")
+    steps = "".join(
+        f"r{k + 1} AS MATERIALIZED (SELECT walk, host, sum(part) AS rank FROM (SELECT s.walk, dst AS host, rank * share * {damping} AS part FROM share s JOIN r{k} ON r{k}.walk = s.walk AND r{k}.host = s.src UNION ALL SELECT walk, host, mass * {1 - damping} FROM seed) GROUP BY ALL),\n"
+        for k in range(rounds)
+    )
+    low = lambda t: f"translate({t}, '{UPPER}', '{LOWER}')"
+    return rf"""
+WITH u AS (SELECT row_number() OVER () AS r, page_id, html, {rest} AS rest FROM pages),
+p AS (SELECT r, page_id, html, coalesce({low("regexp_extract(rest, '^[^/?#]*')")}, '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM u),
+rules(what, rule, h, start) AS (VALUES {fits}),
+fit AS (SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(what, length(rule)) AS what FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, start) GROUP BY r),
+j AS (SELECT p.*, rule, what FROM p LEFT JOIN fit USING (r)),
+hosts AS (SELECT host, count(*) AS n, count(*) FILTER (what = 'allow') AS allow, count(*) FILTER (what = 'block') AS block FROM j WHERE host <> '' GROUP BY host),
+mass AS (SELECT 'trust' AS walk, host, allow / n AS w FROM hosts WHERE allow > 0 UNION ALL SELECT 'distrust', host, block / n FROM hosts WHERE block > 0),
+seed AS MATERIALIZED (SELECT walk, host, w / sum(w) OVER (PARTITION BY walk) AS mass FROM mass),
+link AS (SELECT host AS src, {low("unnest(list_distinct(regexp_extract_all(html, '" + link + "', 1)))")} AS dst, r FROM j WHERE host <> ''),
+e AS (SELECT src, dst, count(DISTINCT r) AS n FROM link WHERE src <> dst GROUP BY ALL),
+way AS (SELECT 'trust' AS walk, src, dst, n FROM e UNION ALL SELECT 'distrust', dst, src, n FROM e),
+share AS MATERIALIZED (SELECT walk, src, dst, n / sum(n) OVER (PARTITION BY walk, src) AS share FROM way),
+r0 AS MATERIALIZED (SELECT walk, host, mass AS rank FROM seed),
+{steps}k AS (SELECT walk, host, rank / sum(rank) OVER (PARTITION BY walk) AS rank FROM r{rounds}),
+v AS (SELECT host, coalesce(sum(rank) FILTER (walk = 'trust'), 0) AS trust, coalesce(sum(rank) FILTER (walk = 'distrust'), 0) AS distrust FROM k GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(what, CASE WHEN coalesce(distrust, 0) > {limit} * coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN v USING (host)
+"""
