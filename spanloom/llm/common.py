@@ -93,7 +93,7 @@ SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 #: Words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of lower-cased text.
 ALNUM = np.array([not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
 #: Bytes of text that are hashed at once.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 
 
 _P = np.uint64(0x9E3779B97F4A7C15)

@@ -76,7 +76,7 @@ SAMPLE, COMMON = 12_000, 2
 BITS = 24
 MOST_COMMON = 1 << 20
 #: Points and bytes of shingles of a region that one task joins.
-LEAF_POINTS, LEAF_BYTES = 2_048, 32_000_000
+LEAF_POINTS, LEAF_BYTES = 2_048, 16_000_000
 #: Keys (8 bytes each) that may be broadcast to pick out the sets of candidates; beyond, a shuffle join does it.
 BROADCAST_KEYS = 2_000_000
 _MAX_ROUNDS = 10_000
@@ -379,12 +379,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def _families(rows: DataFrame) -> DataFrame:
-    """(region, point) of the same regions, or of what they are together where that has fewer pairs than they have apart, as it mostly has: they overlap. rows: (region, point)."""
+    """(region, point) of the same regions, or of what they are together where that meets fewer pivots than they do apart, as it mostly does: they overlap. rows: (region, point)."""
+    met = F.col("m") * F.least(F.lit(float(PIVOTS)), F.ceil(F.sqrt("m")))
     sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("point").alias("pivot"))
     edges = rows.join(sizes, "region").where("point <> pivot").select(F.col("point").alias("a"), F.col("pivot").alias("b"))
     family = components(edges).withColumnRenamed("label", "family")
-    apart = sizes.join(family, F.col("pivot") == F.col("node")).groupBy("family").agg(F.sum(F.col("m") * F.col("m")).cast("double").alias("apart"))
-    of = family.join(family.groupBy("family").agg(F.count(F.lit(1)).cast("double").alias("m")).join(apart, "family").select("family", (F.col("m") * F.col("m") <= F.col("apart")).alias("whole")), "family").withColumnRenamed("node", "point")
+    apart = sizes.join(family, F.col("pivot") == F.col("node")).groupBy("family").agg(F.sum(met).alias("apart"))
+    of = family.join(family.groupBy("family").agg(F.count(F.lit(1)).alias("m")).join(apart, "family").select("family", (met <= F.col("apart")).alias("whole")), "family").withColumnRenamed("node", "point")
     one = of.where("whole").select(F.xxhash64("family", F.lit("family")).alias("region"), "point")
     return one.unionByName(rows.join(of.where("not whole").select("point"), "point").select("region", "point"))
 
