@@ -76,7 +76,7 @@ SAMPLE, COMMON = 12_000, 2
 BITS = 24
 MOST_COMMON = 1 << 20
 #: Points and bytes of shingles of a region that one task joins.
-LEAF_POINTS, LEAF_BYTES = 2_048, 16_000_000
+LEAF_POINTS, LEAF_BYTES = 4_096, 32_000_000
 #: Keys (8 bytes each) that may be broadcast to pick out the sets of candidates; beyond, a shuffle join does it.
 BROADCAST_KEYS = 2_000_000
 _MAX_ROUNDS = 10_000
