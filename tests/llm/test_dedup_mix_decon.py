@@ -51,12 +51,12 @@ def test_exact_dedup_keeps_state(spark, tmp_path):
 
 @pytest.mark.parametrize("plain", [True, False])
 def test_exact_dedup_compares_bytes_with_earlier_calls(spark, tmp_path, plain):
-    """All texts have one digest; only bytes tell them apart, in one call and over three."""
+    """All texts have one digest; only bytes tell them apart, in one call and over two."""
     rng = random.Random(3)
-    rows = [(i, rng.choice(["aa", "bb", "cc", None, ""]), "s") for i in range(60)]
+    rows = [(i, rng.choice(["aa", "bb", "cc", None, ""]), "s") for i in range(40)]
     constant = lambda t: F.lit("d")
     seen = {}
-    for k in range(3):
+    for k in range(2):
         part = rows[20 * k : 20 * k + 20]
         df = docs(spark, part)
         if plain:

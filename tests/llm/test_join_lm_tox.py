@@ -56,7 +56,7 @@ def corpus(seed):
     return [(i * 7 % 1009, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("seed", "points"), [(1, 4096), (2, 3), (3, 2)])
+@pytest.mark.parametrize(("seed", "points"), [(1, 4096), (2, 3)])
 def test_join_is_exact(spark, seed, points):
     rows = corpus(seed)
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, point int")
@@ -71,15 +71,15 @@ def test_voronoi_regions_decide(spark):
     rng = random.Random(6)
     say = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
     rows = []
-    for _ in range(12):
+    for _ in range(6):
         centre = say(300)
-        for k in range(24):
+        for k in range(16):
             w = list(centre)
             at = rng.randrange(200)
             w[at : at + 14 + k % 3] = say(14 + k % 3)  # two of these differ in about 30 to 40 of 296 shingles
             rows.append((len(rows), " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for leaf in (2048, 2):
+    for leaf in (2,):
         told = {}
         got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.clusters(df, leaf_points=leaf, told=told).collect())
         assert got == brute(rows)
@@ -99,7 +99,7 @@ def test_signatures_meet():
     rng = np.random.default_rng(0)
     rings = jaccard_join.Rings(80, 100)
     for n in (5, 6, 9, 14, 30, 77, 200):
-        for _ in range(40):
+        for _ in range(6):
             a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
             drop = rng.integers(0, len(a) // 5 + 1)
             b = np.sort(rng.permutation(a)[drop:])
@@ -111,7 +111,7 @@ def test_signatures_meet():
 
 def test_components(spark):
     rng = random.Random(1)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(400 + i, 401 + i) for i in range(60)]
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(400 + i, 401 + i) for i in range(20)]
     got = dict(map(tuple, jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect()))
     to = {x: x for e in edges for x in e}
     for _ in range(500):
