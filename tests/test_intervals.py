@@ -36,7 +36,7 @@ def test_algebra(spark):
     """Against sets of points."""
     rng = random.Random(10)
     some = lambda: [(a, a + rng.randrange(1, 12)) for a in (rng.randrange(120) for _ in range(9))]
-    for _ in range(3):
+    for _ in range(2):
         x, y = some(), some()
         a, b = rows(spark, x), rows(spark, y)
         assert got(intervals.merged(a, ["owner"])) == islands(points(x))
@@ -153,9 +153,9 @@ def test_design_covers_enough(spark):
     text = "ABCDEFGHIJKLMNOPQRSTUVWXYZABCDEF"
     seqs = spark.createDataFrame([(0, i, 0, text) for i in range(2)], "group_id int, genome_id int, chr_idx int, seq string")
     config = dict(probe_length=6, probe_stride=1, kmer=6)
-    sizes = [pipeline.designed(seqs, pipeline.DesignConfig(coverage=c, **config)).count() for c in (0.1, 0.5, 0.8, 1.0)]
-    assert sizes == [1, 2, 4, 5]
-    assert [pipeline.designed(seqs, pipeline.DesignConfig(coverage=c, **config)).count() for c in (2, 5, 10, 15, 20, 1000)] == [1, 1, 1, 2, 3, 5]
+    sizes = [pipeline.designed(seqs, pipeline.DesignConfig(coverage=c, **config)).count() for c in (0.5, 1.0)]
+    assert sizes == [2, 5]
+    assert [pipeline.designed(seqs, pipeline.DesignConfig(coverage=c, **config)).count() for c in (10, 20)] == [1, 3]
     with pytest.raises(ValueError):
         pipeline.DesignConfig(hamming=1, minhash=0.5)
 
