@@ -54,10 +54,13 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     ends a record, and what follows it must be a header.
     """
     rows = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
-    rows = placed(rows.where(F.trim(F.regexp_replace("value", "[\\r\\n]", "")) != ""), "path", ["block", "at"], "seq_index")
-    first = F.col("seq_index") == 0
-    value = F.when(first & F.col("value").rlike(r"^\s*>"), F.regexp_replace("value", r"^\s*>", "")).when(first, F.raise_error(F.lit("a sequence without a header"))).otherwise(F.col("value"))
-    rows = rows.withColumn("value", value)
+    rows = placed(rows, "path", ["block", "at"], "place")
+    first, blank = F.col("place") == 0, F.trim(F.regexp_replace("value", "[\\r\\n]", "")) == ""
+    # blank lines before the first record are a piece of their own
+    lead = rows.where(first & blank).select(F.col("path").alias("path_"), F.lit(1).alias("lead"))
+    rows = rows.where(~(first & blank)).join(F.broadcast(lead), F.col("path") == F.col("path_"), "left")
+    value = F.when(~first, F.col("value")).when(F.col("value").rlike(r"^\s*>"), F.regexp_replace("value", r"^\s*>", "")).otherwise(F.raise_error(F.lit("a sequence without a header")))
+    rows = rows.select("path", (F.col("place") - F.coalesce("lead", F.lit(0))).alias("seq_index"), value.alias("value"))
     body = F.when(F.instr("value", "\n") > 0, F.expr("substring(value, instr(value, '\n') + 1)")).otherwise(F.lit(""))
     loose = body.rlike(r"(?:^|\n)[ \t\r]*\n\s*\S")
     seq = F.when(loose, F.raise_error(F.lit("a sequence without a header"))).otherwise(F.regexp_replace(body, r"\s", ""))
