@@ -46,6 +46,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -145,7 +146,16 @@ class Rings:
         return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
-def _slim(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+class Signer(Protocol):
+    """What tells candidates: sets that link from num / den on have a signature in common."""
+
+    num: int
+    den: int
+
+    def signatures(self, whole: np.ndarray, common: np.ndarray) -> np.ndarray: ...
+
+
+def slim_of(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,10 +203,10 @@ def _common(docs: DataFrame, text_col: str, n: int, rows: int, sample: int) -> n
     return np.packbits(out)
 
 
-def _signatures(docs: DataFrame, text_col: str, n: int, rings: Rings, buckets: int, common: np.ndarray) -> DataFrame:
+def _signatures(docs: DataFrame, text_col: str, n: int, rings: Signer, buckets: int, common: np.ndarray | None) -> DataFrame:
     """Signatures in packed rows (bucket, data); heads are dealt by signature, followers evenly."""
 
-    held_common = docs.sparkSession.sparkContext.broadcast(common)
+    held_common = docs.sparkSession.sparkContext.broadcast(np.zeros(0, dtype=np.uint8) if common is None else common)
 
     def pack(sig: list[np.ndarray], point: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not sig:
@@ -299,7 +309,7 @@ def _sets(docs: DataFrame, text_col: str, n: int, points: DataFrame) -> DataFram
     return every.join(points, "point", "left_semi").dropDuplicates(["point"])
 
 
-def _apart(pairs: DataFrame, sets: DataFrame, rings: Rings) -> DataFrame:
+def _apart(pairs: DataFrame, sets: DataFrame, rings: Signer) -> DataFrame:
     """(point, pivot, d, most, maybe): L1 distance of the coordinates, the point's largest difference to anything it links with, and whether a link is possible."""
     here = sets.select("point", F.col("n").alias("n0"), F.col("at").alias("at0"))
     there = sets.select(F.col("point").alias("pivot"), F.col("n").alias("n1"), F.col("at").alias("at1"))
@@ -399,7 +409,7 @@ def _grown(links: DataFrame, new: DataFrame, labels: DataFrame) -> tuple[DataFra
     return more, components(more)
 
 
-def _leaves(points: DataFrame, rings: Rings) -> DataFrame:
+def _leaves(points: DataFrame, rings: Signer) -> DataFrame:
     """(a, b) links that join components within regions that a task can hold; points: (region, point, label, n, at, data)."""
     num, den = rings.num, rings.den
 
@@ -452,7 +462,7 @@ def _leaves(points: DataFrame, rings: Rings) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def _joined(regions: DataFrame, sets: DataFrame, rings: Rings, pivots: int, leaf_bytes: int, leaf_points: int, told: dict[str, int] | None) -> DataFrame:
+def _joined(regions: DataFrame, sets: DataFrame, rings: Signer, pivots: int, leaf_bytes: int, leaf_points: int, told: dict[str, int] | None) -> DataFrame:
     """(node, label) of all points that have a link, in rounds over all regions at once; regions: (region, point, pivot, times), without equal ones."""
     num, den = rings.num, rings.den
     # first the star around the pivot that each point shares most regions with
@@ -519,16 +529,9 @@ def _joined(regions: DataFrame, sets: DataFrame, rings: Rings, pivots: int, leaf
     raise RuntimeError("the regions did not get smaller")
 
 
-def clusters(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, num: int = NUM, den: int = DEN, pivots: int = PIVOTS, leaf_points: int = LEAF_POINTS, leaf_bytes: int = LEAF_BYTES, told: dict[str, int] | None = None) -> DataFrame:
-    """One row per document: doc_id, row (hash of its text), n_shingles, component_id. ``told`` gets the numbers of rounds, pivots, Voronoi regions and leaves."""
-    small_batches(docs.sparkSession)
-    rings = Rings(num, den)
-    slim = written(_slim(docs, id_col, text_col, n), "join-slim")
-    total = slim.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(1, int(total * 0.5) // BUCKET_SIGNATURES + 1)
-    buckets = max(buckets, docs.sparkSession.sparkContext.defaultParallelism)
-    common = _common(docs, text_col, n, slim.count(), SAMPLE)
-    shared = written(_regions(_signatures(docs, text_col, n, rings, buckets, common), buckets), "join-regions")
+def grouped(docs: DataFrame, slim: DataFrame, signer: Signer, buckets: int, common: np.ndarray | None, *, text_col: str, n: int, pivots: int, leaf_points: int, leaf_bytes: int, told: dict[str, int] | None) -> DataFrame:
+    """One row for each of slim's: doc_id, row, n_shingles, component_id. Points with a signature of ``signer`` in common are candidates."""
+    shared = written(_regions(_signatures(docs, text_col, n, signer, buckets, common), buckets), "join-regions")
     # regions with the same members are one
     marks = shared.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("point").alias("pivot"), F.bit_xor(F.xxhash64("point")).alias("x"), F.bit_xor(F.xxhash64("point", F.lit(7))).alias("y"))
     one = marks.groupBy("n", "pivot", "x", "y").agg(F.min("region").alias("region"), F.count(F.lit(1)).alias("times")).select("region", "pivot", "times")
@@ -537,7 +540,7 @@ def clusters(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     labels = None
     if regions.take(1):
         sets = written(_sets(docs, text_col, n, regions.select("point").distinct()), "join-sets")
-        labels = _joined(regions, sets, rings, pivots, leaf_bytes, leaf_points, told)
+        labels = _joined(regions, sets, signer, pivots, leaf_bytes, leaf_points, told)
         discard(sets)
     first = slim.where("point is not null").groupBy("point").agg(F.min("doc_id").alias("least"))
     first = first.withColumn("label", F.col("point")) if labels is None else first.join(labels.withColumnRenamed("node", "point"), "point", "left").withColumn("label", F.coalesce("label", "point"))
@@ -548,6 +551,18 @@ def clusters(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", "row", "n_shingles", F.when(F.col("point").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def clusters(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, num: int = NUM, den: int = DEN, pivots: int = PIVOTS, leaf_points: int = LEAF_POINTS, leaf_bytes: int = LEAF_BYTES, told: dict[str, int] | None = None) -> DataFrame:
+    """One row per document: doc_id, row (hash of its text), n_shingles, component_id. ``told`` gets the numbers of rounds, pivots, Voronoi regions and leaves."""
+    small_batches(docs.sparkSession)
+    rings = Rings(num, den)
+    slim = written(slim_of(docs, id_col, text_col, n), "join-slim")
+    total = slim.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(1, int(total * 0.5) // BUCKET_SIGNATURES + 1)
+    buckets = max(buckets, docs.sparkSession.sparkContext.defaultParallelism)
+    common = _common(docs, text_col, n, slim.count(), SAMPLE)
+    return grouped(docs, slim, rings, buckets, common, text_col=text_col, n=n, pivots=pivots, leaf_points=leaf_points, leaf_bytes=leaf_bytes, told=told)
+
+
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each component the row with the smallest id.
 

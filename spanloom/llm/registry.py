@@ -1,4 +1,4 @@
-"""The queries of this subpackage: op1 to op10 and the pipeline, with SQL where SQL can express them."""
+"""The queries of this subpackage: op1 to op13 and the pipeline, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, decontaminate, exact_dedup, html_main, jaccard_join, license_scan, mixing, pii, toxicity, url_filter
+from . import align, brown_lm, decontaminate, exact_dedup, html_main, jaccard_join, license_scan, minmax, mixing, negatives, pii, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.clusters(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.measured(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
+    moved = F.when(F.pmod("id", F.lit(7)) == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return negatives.mined(rows.withColumn("label", moved), F.pmod("id", F.lit(50)) == 0)
+
+
 SQL: dict[str, str] = {}
 
 SQL["op5_exact_dedup"] = """
@@ -64,6 +78,15 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+SQL["op13_hard_negatives"] = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other, list_dot_product(a.v::DOUBLE[], b.v::DOUBLE[])::BIGINT AS score FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 3
+"""
 SQL["op2_license_scan"] = license_scan.oracle()
 SQL["op8_url_filter"] = url_filter.oracle()
 SQL["op10_decontamination"] = decontaminate.oracle()
