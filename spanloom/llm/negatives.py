@@ -34,7 +34,7 @@ LOW, HIGH = 50, 95
 #: Vectors of a block, and ratio of lengths in a bucket.
 BLOCK, BUCKET = 4_096, 1.05
 #: Anchors and blocks that meet in one task, at most.
-ANCHORS, BLOCKS = 8_192, 16
+ANCHORS, BLOCKS = 2_048, 4
 #: Coordinates of an anchor that are looked up.
 FOCUS = 4
 #: Products of lengths below which sums of doubles are exact.
@@ -243,9 +243,10 @@ def mined(vectors: DataFrame, anchor: Column, *, positives: int = POSITIVES, neg
         near = _met(asked.withColumn("owner", F.col("label")), by_label, lambda a: [Best(positives)], True, group)
         near = written(near.withColumn("k", k).where(F.col("k") <= positives).select("row", "k", F.col("id").alias("positive_id"), F.col("score").alias("positive_score")), "negatives-positives")
         discard(by_label)
-        every = index(rows, F.lit(0).cast("bigint"), block, blocks)
+        one = F.shiftright("row", 63)  # one owner of all
+        every = index(rows, one, block, blocks)
         windows = near.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "positive_score"))).alias("p"))
-        again = asked.join(windows, "row").select(F.lit(0).cast("bigint").alias("owner"), "row", "id", "label", "v", "p")
+        again = asked.join(windows, "row").select(one.alias("owner"), "row", "id", "label", "v", "p")
         bests = lambda a: [Best(negatives, -(-low * x["positive_score"] // 100), high * x["positive_score"] // 100) for x in a["p"]]
         far = _met(again, every, bests, False, group).withColumn("k", F.col("place") + 1)
         rank = F.row_number().over(Window.partitionBy("row", "k").orderBy(F.desc("score"), "id"))
