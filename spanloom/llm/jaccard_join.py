@@ -494,10 +494,11 @@ def _joined(regions: DataFrame, sets: DataFrame, rings: Signer, pivots: int, lea
         if not rows.take(1):
             discard(rows, *held_asked)
             return labels
-        # pivots come from the smallest components: once they are gone, a region is often one component
+        # pivots come from the smallest components: once they are gone, a region is often one component, and needs no more of them
         sizes = rows.groupBy("region", "label").agg(F.count(F.lit(1)).alias("size"))
+        others = sizes.groupBy("region").agg((F.sum("size") - F.max("size")).alias("others"))
         line = Window.partitionBy("region").orderBy("size", F.xxhash64("point"), "point")
-        some = rows.join(sizes, ["region", "label"]).withColumn("place", F.row_number().over(line)).where(F.col("place") <= pivots).where("place <= ceil(sqrt(m))")
+        some = rows.join(sizes, ["region", "label"]).withColumn("place", F.row_number().over(line)).where(F.col("place") <= pivots).where("place <= ceil(sqrt(m))").join(others, "region").where("place <= others")
         some = written(some.select("region", F.col("point").alias("pivot"), F.col("label").alias("of")), "join-pivots")
         met = rows.join(some, "region").where("point <> pivot")
         pairs = met.groupBy("point", "pivot").agg(F.max(F.col("label") != F.col("of")).alias("open"))
