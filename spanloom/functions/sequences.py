@@ -89,10 +89,10 @@ def word_number(word: Column) -> Column:
 
 
 def signature(seq: Column, k: int, n: int, a: int, b: int) -> Column:
-    """The n smallest hashes (a x + b) mod PRIME of the multiset of k-mers; those of short sequences are repeated."""
+    """The n smallest hashes (a x + b) mod PRIME of the multiset of k-mers; those of short sequences are repeated. a and b are below 2^31."""
     words = kmers(seq, k)
     times = F.ceil(F.lit(n) / F.greatest(F.size(words), F.lit(1))).cast("int")
-    hashes = F.transform(words, lambda w: ((F.lit(a).cast("decimal(20,0)") * word_number(w).cast("decimal(20,0)") + F.lit(b)) % PRIME).cast("bigint"))
+    hashes = F.transform(words, lambda w: (F.lit(a).cast("bigint") * word_number(w) + F.lit(b)) % PRIME)  # below 2^63
     return F.slice(F.array_sort(F.flatten(F.array_repeat(hashes, times))), 1, n)
 
 

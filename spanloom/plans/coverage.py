@@ -73,4 +73,4 @@ def analysed(seqs: DataFrame, probes: DataFrame, config: DesignConfig, *, window
     whole = cover.in_genome(found, tiling.offsets(plain))
     sizes = tiling.genome_sizes(plain)
     keep = F.lit(True) if rc_too else ~F.col("rc")
-    return Analysis(analysis.report(whole, sizes).where(keep).join(names, "group_id"), analysis.sliding(whole, sizes, window, stride).where(keep).join(names, "group_id"), analysis.map_counts(found, probes), probes)
+    return Analysis(analysis.report(whole, sizes).where(keep).join(names, "group_id"), analysis.sliding(whole, sizes, window, stride).where(keep).join(names, "group_id"), analysis.map_counts(found, probes, with_zero=False), probes)

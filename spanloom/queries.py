@@ -300,8 +300,10 @@ def design_probes(spark, sf_dir):
 
 
 def design_adapters(spark, sf_dir):
+    """Probes are pooled over all languages: every document is a sequence of the probes' group."""
     p = probes(spark, sf_dir)
-    return adapters.assigned(p, benchmark_covers(spark, sf_dir)).select("seq", "votes_a", "votes_b", "adapter")
+    found = benchmark_covers(spark, sf_dir).withColumn("group_id", F.lit(0))
+    return adapters.assigned(p, found).select("seq", "votes_a", "votes_b", "adapter")
 
 
 def cluster_simple(spark, sf_dir):
@@ -312,6 +314,18 @@ def cluster_average(spark, sf_dir):
     return cluster.hierarchical(items(spark, sf_dir).select(F.col("genome_id").alias("seq_id"), "seq"), 0.1)
 
 
+def _named_documents(spark, sf_dir):
+    return genomes(spark, sf_dir).select(F.col("genome_id").alias("seq_id"), "seq")
+
+
+def cluster_simple_documents(spark, sf_dir):
+    return cluster.simple(_named_documents(spark, sf_dir), 0.1)
+
+
+def cluster_average_documents(spark, sf_dir):
+    return cluster.hierarchical(_named_documents(spark, sf_dir), 0.1)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage of a probe set over genomes."""
     return coverage_report(spark, sf_dir)
@@ -321,7 +335,7 @@ _NAMES = """seq_stats seq_reverse_complement seq_fragments seq_kmer_counts seq_c
 filter_poly filter_first_per_group filter_sample_per_group expand_n probe_identifier probe_reverse_complements hamming_pairs jaccard_pairs minhash_signatures
 mash_distances join_exact join_mismatch join_seeded join_short seq_candidates_small analysis_matrix pool_standard_bounds interval_merge interval_union interval_intersection interval_difference interval_lengths interval_schedule
 coverage_report coverage_depth coverage_sliding coverage_map_counts coverage_console rank_groups_hit rank_avoided rank_probes graph_components pool_interpolation
-pool_bounds pool_search near_hamming near_jaccard near_redundant near_dominating design_probes design_adapters cluster_simple cluster_average""".split()
+pool_bounds pool_search near_hamming near_jaccard near_redundant near_dominating design_probes design_adapters cluster_simple cluster_average cluster_simple_documents cluster_average_documents""".split()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
