@@ -462,7 +462,7 @@ def _leaves(points: DataFrame, rings: Signer) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def _joined(regions: DataFrame, sets: DataFrame, rings: Signer, pivots: int, leaf_bytes: int, leaf_points: int, told: dict[str, int] | None) -> DataFrame:
+def _joined(regions: DataFrame, sets: DataFrame, rings: Signer, pivots: int, leaf_bytes: int, leaf_points: int, told: dict[str, int] | None, leaves_first: bool = False) -> DataFrame:
     """(node, label) of all points that have a link, in rounds over all regions at once; regions: (region, point, pivot, times), without equal ones."""
     num, den = rings.num, rings.den
     # first the star around the pivot that each point shares most regions with
@@ -479,7 +479,7 @@ def _joined(regions: DataFrame, sets: DataFrame, rings: Signer, pivots: int, lea
         open_ = rows.groupBy("region").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("m")).where("l0 <> l1").select("region", "m")
         rows = written(rows.join(open_, "region"), "join-active")
         discard(*held)
-        if round_:
+        if round_ or leaves_first:
             # what a task can hold ends here
             sizes = rows.join(sets.select("point", "n"), "point").groupBy("region").agg((F.sum("n") * 8).alias("bytes"))
             fits = sizes.where(f"bytes <= {leaf_bytes}").select("region")
@@ -530,8 +530,11 @@ def _joined(regions: DataFrame, sets: DataFrame, rings: Signer, pivots: int, lea
     raise RuntimeError("the regions did not get smaller")
 
 
-def grouped(docs: DataFrame, slim: DataFrame, signer: Signer, buckets: int, common: np.ndarray | None, *, text_col: str, n: int, pivots: int, leaf_points: int, leaf_bytes: int, told: dict[str, int] | None) -> DataFrame:
-    """One row for each of slim's: doc_id, row, n_shingles, component_id. Points with a signature of ``signer`` in common are candidates."""
+def grouped(docs: DataFrame, slim: DataFrame, signer: Signer, buckets: int, common: np.ndarray | None, *, text_col: str, n: int, pivots: int, leaf_points: int, leaf_bytes: int, told: dict[str, int] | None, leaves_first: bool = False) -> DataFrame:
+    """One row for each of slim's: doc_id, row, n_shingles, component_id. Points with a signature of ``signer`` in common are candidates.
+
+    With ``leaves_first`` regions that a task can hold don't meet pivots at all.
+    """
     shared = written(_regions(_signatures(docs, text_col, n, signer, buckets, common), buckets), "join-regions")
     # regions with the same members are one
     marks = shared.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("point").alias("pivot"), F.bit_xor(F.xxhash64("point")).alias("x"), F.bit_xor(F.xxhash64("point", F.lit(7))).alias("y"))
@@ -541,7 +544,7 @@ def grouped(docs: DataFrame, slim: DataFrame, signer: Signer, buckets: int, comm
     labels = None
     if regions.take(1):
         sets = written(_sets(docs, text_col, n, regions.select("point").distinct()), "join-sets")
-        labels = _joined(regions, sets, signer, pivots, leaf_bytes, leaf_points, told)
+        labels = _joined(regions, sets, signer, pivots, leaf_bytes, leaf_points, told, leaves_first)
         discard(sets)
     first = slim.where("point is not null").groupBy("point").agg(F.min("doc_id").alias("least"))
     first = first.withColumn("label", F.col("point")) if labels is None else first.join(labels.withColumnRenamed("node", "point"), "point", "left").withColumn("label", F.coalesce("label", "point"))

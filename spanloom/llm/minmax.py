@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, small_batches, written
-from .jaccard_join import BUCKET_SIGNATURES, LEAF_BYTES, LEAF_POINTS, PIVOTS, grouped, slim_of
+from .jaccard_join import BUCKET_SIGNATURES, LEAF_BYTES, PIVOTS, grouped, slim_of
 
 N = 3
 NUM, DEN = 85, 100
@@ -35,6 +35,8 @@ NUM, DEN = 85, 100
 PAIRS = 4
 #: Probability that a link has no band in common.
 MISS = 1e-9
+#: Points of a region that one task compares; larger regions go through pivots first.
+LEAF_POINTS = 1_024
 #: Values that are permuted at once.
 CELLS = 1 << 16
 _SEED = 0x5851F42D4C957F2D
@@ -100,5 +102,5 @@ def clusters(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     signer = MinMax(num, den, pairs, miss)
     slim = written(slim_of(docs, id_col, text_col, n), "minmax-slim")
     buckets = max(slim.count() * signer.bands // BUCKET_SIGNATURES + 1, spark.sparkContext.defaultParallelism)
-    out = grouped(docs, slim, signer, buckets, None, text_col=text_col, n=n, pivots=pivots, leaf_points=leaf_points, leaf_bytes=leaf_bytes, told=told)
+    out = grouped(docs, slim, signer, buckets, None, text_col=text_col, n=n, pivots=pivots, leaf_points=leaf_points, leaf_bytes=leaf_bytes, told=told, leaves_first=True)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
