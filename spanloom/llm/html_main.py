@@ -43,6 +43,8 @@ from .common import slices, small_batches
 WORD = 1.0
 #: A tag that no labelled page has.
 DEFAULT = -1.0
+#: What a tag inside a block costs at most: a link in a sentence is no menu.
+INLINE = -1.5
 #: Weights per unit of log-odds, what an element's log-odds must be above to weigh nothing, and the least weight.
 SCALE, BIAS, MOST = 1.0, 1.0, 5.0
 #: Tags in marked content cost so much of their own weight.
@@ -62,17 +64,32 @@ NEVER = frozenset("head nav footer aside form menu dialog button select".split()
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 NAMES = frozenset("ad ads advert adverts advertisement advertisements sponsored menu nav navbar navigation breadcrumb breadcrumbs sidebar sidebars cookie cookies notice notices comment comments".split())
 WHOLE_NAMES = frozenset("header footer top-menu site-header site-footer page-header page-footer".split())
+#: What may stand beside such a name in one token: "cookie-banner" is one, "notice-of-meeting" and "ad-hoc" are not.
+LAYOUT = frozenset("site page main top bottom left right inner outer wrapper wrap container box block slot unit banner bar list area item items widget content text link links inline global primary secondary".split())
+#: On headings and sections of the content, only these: a section on navigation isn't a menu.
+PARTS_OF_CONTENT = frozenset("section h1 h2 h3 h4 h5 h6".split())
+NEVER_CONTENT = frozenset("ad ads advert adverts advertisement advertisements sponsored sidebar sidebars cookie cookies comment comments".split())
+#: Elements whose <article> is no main text.
+ASIDE = frozenset("aside nav footer".split())
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<!/)>.*?(?:</\1\s*+>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)|([^<]++|<)",
     re.S | re.I,
 )
-_MARK = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?|["']""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
+def furniture(token: str, of_content: bool = False) -> bool:
+    """Whether a class or id names a part of a page that is never main text; with ``of_content`` on a heading or section of the content."""
+    if of_content:
+        return token.lower() in NEVER_CONTENT
+    parts = [p.lower() for p in _PART.findall(token)]
+    return token.lower() in WHOLE_NAMES or any(p in NAMES for p in parts) and all(p in NAMES or p in LAYOUT or p.isdigit() for p in parts)
+
+
 class Element:
-    __slots__ = ("keys", "fixed", "named", "parent", "inside", "holds", "words", "pays")
+    __slots__ = ("keys", "fixed", "named", "parent", "inside", "holds", "words", "pays", "aside")
 
     def __init__(self, name: str, attributes: str, parent: Element | None, inside: bool) -> None:
         self.parent, self.inside, self.holds, self.words, self.pays = parent, inside, False, 0, 0.0
@@ -80,14 +97,16 @@ class Element:
         self.named = False
         names = []
         if attributes and name not in ("html", "body"):
-            for key, *value in _MARK.findall(attributes):
+            for key, *value in _ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), next((v for v in value if v), "")
                 if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) or key == "role" and value.lower() in ROLES:
                     self.fixed = True
                 elif key in ("class", "id"):
                     for token in value.split():
                         names.append(f"{name}{'.' if key == 'class' else '#'}{token.lower()[:40]}")
-                        self.named = self.named or token.lower() in WHOLE_NAMES or any(p.lower() in NAMES for p in _PART.findall(token))
+                        self.named = self.named or furniture(token, inside and name in PARTS_OF_CONTENT)
+        #: Whether an <article> in it is no main text.
+        self.aside = parent is not None and parent.aside or name in ASIDE or self.named or self.fixed and name not in NEVER
         self.keys = names or [name]
 
 
@@ -139,6 +158,7 @@ def blocks(html: str) -> tuple[list[Block], list[Element], bool]:
                     element = here
                     if block:
                         content = name in ("article", "main")
+                        content = content and not here.aside
                         if content and not here.inside:
                             marked = True
                             up: Element | None = here
@@ -213,7 +233,7 @@ def scored(html: str, weights: dict[str, float], default: float = DEFAULT) -> tu
     for b in found:
         n = b.text.count(" ") + 1 if b.text else 0
         one = WORD + b.element.pays
-        scores.append(n * (max(0.0, one) if b.element.inside else one) + (INSIDE if b.element.inside else 1.0) * sum(weights.get(f"<{g}", default) for g in b.tags))
+        scores.append(n * (max(0.0, one) if b.element.inside else one) + (INSIDE if b.element.inside else 1.0) * sum(w if g in BLOCK else max(w, INLINE) for g in b.tags for w in (weights.get(f"<{g}", default),)))
     return found, scores
 
 

@@ -143,6 +143,7 @@ def mix(docs: DataFrame, *, members: Column, size: Column, identity: Sequence[Co
     by = slim.groupBy("pattern_").agg(F.first(F.array_sort(F.array_distinct("members_"))).alias("m"), F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
     if len(by) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    by.sort(key=lambda r: r.pattern_)  # the flow depends on the order of patterns
     names = sorted({s for r in by for s in r.m}, key=lambda s: (s is None, s or ""))
     sizes = {s: 0 for s in names}
     for r in by:
