@@ -32,7 +32,7 @@ from .jaccard_join import BUCKET_SIGNATURES, LEAF_BYTES, PIVOTS, grouped, slim_o
 N = 3
 NUM, DEN = 85, 100
 #: Permutations of a band; each gives two values.
-PAIRS = 4
+PAIRS = 3
 #: Probability that a link has no band in common.
 MISS = 1e-9
 #: Points of a region that one task compares; larger regions go through pivots first.
