@@ -88,14 +88,22 @@ def word_number(word: Column) -> Column:
     return F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint")
 
 
-def signature(seq: Column, k: int, n: int, a: int, b: int) -> Column:
-    """The n smallest hashes (a x + b) mod PRIME of the multiset of k-mers; those of short sequences are repeated. a and b are below 2^31."""
-    words = kmers(seq, k)
-    times = F.ceil(F.lit(n) / F.greatest(F.size(words), F.lit(1))).cast("int")
-    hashes = F.transform(words, lambda w: (F.lit(a).cast("bigint") * word_number(w) + F.lit(b)) % PRIME)  # below 2^63
+def word_hashes(words: Column, a: int, b: int) -> Column:
+    """(a x + b) mod PRIME of each word's number x; a and b are below 2^31."""
+    return F.transform(words, lambda w: (F.lit(a).cast("bigint") * word_number(w) + F.lit(b)) % PRIME)  # below 2^63
+
+
+def smallest(hashes: Column, n: int) -> Column:
+    """The n smallest of an array, which is repeated if it has fewer."""
+    times = F.ceil(F.lit(n) / F.greatest(F.size(hashes), F.lit(1))).cast("int")
     return F.slice(F.array_sort(F.flatten(F.array_repeat(hashes, times))), 1, n)
 
 
+def signature(seq: Column, k: int, n: int, a: int, b: int) -> Column:
+    """The n smallest hashes of the multiset of k-mers; those of short sequences are repeated."""
+    return smallest(word_hashes(kmers(seq, k), a, b), n)
+
+
 def signature_distance(x: Column, y: Column) -> Column:
     """Jaccard distance estimated from two signatures of distinct hashes: over the n smallest of their union."""
     n = F.size(x)
