@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions.sequences import dna_of_text, identifier, jaccard_of_mash_column, kmers, reverse_complement, round_down, round_up, signature
+from spanloom.functions.sequences import dna_of_text, identifier, jaccard_of_mash, jaccard_of_mash_column, kmers, reverse_complement, round_down, round_up, signature
 from spanloom.operators import adapters, analysis, cluster, cover, design, filters, intervals, near_duplicates, tiling
 from spanloom.plans import coverage, pipeline, pool
 
@@ -411,6 +411,13 @@ SELECT x.genome_id AS a, y.genome_id AS b, round(1 - len(list_intersect(x.w, y.w
 WHERE 1 - len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) <= 0.99""",
     "minhash_signatures": f"""WITH {_I}, h AS (SELECT genome_id, list_transform(range(1, length(seq) - 8), lambda q: (({cluster.A}::HUGEINT * ('0x' || substr(md5(substr(seq, q, 10)), 1, 8))::BIGINT + {cluster.B}) % 2147483647)::BIGINT) AS h FROM i)
 SELECT genome_id, array_to_string(list_sort(flatten(list_transform(range(0, ceil(20 / greatest(len(h), 1))::INT), lambda q: h)))[1:20], ',') AS sig FROM h""",
+    "cluster_simple_documents": f"""WITH RECURSIVE {_G}, h AS (SELECT genome_id AS seq_id, list_transform(range(1, length(seq) - 10), lambda q: (({cluster.A}::BIGINT * ('0x' || substr(md5(substr(seq, q, 12)), 1, 8))::BIGINT + {cluster.B}) % 2147483647)::BIGINT) AS h FROM g),
+s AS (SELECT seq_id, list_sort(flatten(list_transform(range(0, ceil(100 / greatest(len(h), 1))::INT), lambda q: h)))[1:100] AS sig FROM h), r AS (SELECT sig, min(seq_id) AS rep FROM s GROUP BY sig),
+u AS (SELECT rep, list_distinct(sig) AS x FROM r), k AS (SELECT rep, unnest(x) AS h FROM u), p AS (SELECT DISTINCT a.rep AS i, b.rep AS j FROM k a JOIN k b ON a.h = b.h AND a.rep < b.rep),
+d AS (SELECT i, j, a.x AS x, b.x AS y, list_sort(list_distinct(list_concat(a.x, b.x)))[1:len(a.x)] AS low FROM p JOIN u a ON a.rep = i JOIN u b ON b.rep = j),
+e AS MATERIALIZED (SELECT i, j FROM d WHERE 1 - len(list_intersect(list_intersect(x, y), low)) / len(low) <= {jaccard_of_mash(0.1, 12)!r}), w AS MATERIALIZED (SELECT i, j FROM e UNION ALL SELECT j, i FROM e),
+c AS (SELECT rep AS node, rep AS seen FROM r UNION SELECT c.node, w.j FROM c JOIN w ON w.i = c.seen)
+SELECT s.seq_id, cluster FROM s JOIN r USING (sig) JOIN (SELECT node, min(seen) AS cluster FROM c GROUP BY node) t ON t.node = r.rep""",
     "mash_distances": "SELECT n_nationkey, round(1 - 1 / (2 * exp(12 * ((n_nationkey + 1) / 100)) - 1), 9) AS distance, (ceil(n_nationkey / 7) * 7)::BIGINT AS up, (floor(n_nationkey / 7) * 7)::BIGINT AS down FROM nation",
     "join_exact": f"WITH {_G}, {_I}, {_P}, {_ALL} SELECT genome_id, start, \"end\", seq FROM a JOIN p ON win = seq",
     "join_mismatch": f"""WITH {_G}, {_I}, {_P}, {_ALL}, s AS (SELECT *, unnest([0, 10, 20]) AS o FROM p), k AS (SELECT seq, o, substr(seq, o + 1, 10) AS b FROM s),
