@@ -106,7 +106,7 @@ class Element:
                         names.append(f"{name}{'.' if key == 'class' else '#'}{token.lower()[:40]}")
                         self.named = self.named or furniture(token, inside and name in PARTS_OF_CONTENT)
         #: Whether an <article> in it is no main text.
-        self.aside = parent is not None and parent.aside or name in ASIDE or self.named or self.fixed and name not in NEVER
+        self.aside = parent is not None and parent.aside or name in ASIDE or self.fixed and name not in NEVER
         self.keys = names or [name]
 
 
