@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.sequences import dna_of_text, identifier, jaccard_of_mash, jaccard_of_mash_column, kmers, reverse_complement, round_down, round_up, signature
 from spanloom.operators import adapters, analysis, cluster, cover, design, filters, intervals, near_duplicates, tiling
+from spanloom.operators.shared import scratch
 from spanloom.plans import coverage, pipeline, pool
+from spanloom.sources import ranges
 
 L, S = 30, 15
 #: Sequences shorter than windows are taken whole from so many letters on.
@@ -331,7 +333,17 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage_report(spark, sf_dir)
 
 
-_NAMES = """seq_stats seq_reverse_complement seq_fragments seq_kmer_counts seq_candidates dedup_multiplicity dedup_union_distinct filter_fasta_membership
+def fasta_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' sequences as the FASTA source reads them from files that its sink wrote, by genome."""
+    ranges.register(spark)
+    path = scratch(spark, "fasta")
+    genomes(spark, sf_dir).select(F.concat_ws("|", "genome_id", "group_id").alias("header"), "seq").write.format("fasta").mode("overwrite").save(path)
+    rows = spark.read.format("fasta").option("splitBytes", 8 << 20).load(path)
+    part = F.split("header", r"\|")
+    return rows.select(part[0].cast("bigint").alias("genome_id"), part[1].cast("int").alias("group_id"), F.length("seq").alias("length"), F.md5("seq").alias("seq_md5"))
+
+
+_NAMES = """seq_stats fasta_written seq_reverse_complement seq_fragments seq_kmer_counts seq_candidates dedup_multiplicity dedup_union_distinct filter_fasta_membership
 filter_poly filter_first_per_group filter_sample_per_group expand_n probe_identifier probe_reverse_complements hamming_pairs jaccard_pairs minhash_signatures
 mash_distances join_exact join_mismatch join_seeded join_short seq_candidates_small analysis_matrix pool_standard_bounds interval_merge interval_union interval_intersection interval_difference interval_lengths interval_schedule
 coverage_report coverage_depth coverage_sliding coverage_map_counts coverage_console rank_groups_hit rank_avoided rank_probes graph_components pool_interpolation
@@ -395,6 +407,7 @@ def _poly(letter: str) -> str:
 
 SQL: dict[str, str] = {
     "seq_stats": f"WITH {_G} SELECT group_id, genome_id, length(seq) AS size, length(regexp_replace(seq, '[^ACGT]', '', 'g')) AS unambiguous, 1::BIGINT AS chromosomes FROM g",
+    "fasta_written": f"WITH {_G} SELECT genome_id, group_id, length(seq) AS length, md5(seq) AS seq_md5 FROM g",
     "seq_reverse_complement": f"WITH {_G} SELECT genome_id, md5({_RC}) AS rc_md5 FROM g",
     "seq_fragments": f"WITH {_G} SELECT genome_id, pos, md5(substr(seq, pos + 1, 500)) AS part_md5 FROM (SELECT *, unnest(range(0, length(seq), 500)) AS pos FROM g)",
     "seq_kmer_counts": f"WITH {_G} SELECT kmer, count(*) AS n FROM (SELECT substr(seq, q, 6) AS kmer FROM (SELECT seq, unnest(range(1, length(seq) - 4)) AS q FROM g WHERE length(seq) >= 6)) GROUP BY kmer",

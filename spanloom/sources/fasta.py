@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import gzip
 from collections.abc import Callable, Iterator, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.sequences import clean
 from spanloom.operators.tiling import placed
 
-SCHEMA = "path string, seq_index bigint, header string, seq string"
+from . import ranges
 
 
 def parse(text: str) -> Iterator[tuple[str, str]]:
@@ -34,19 +32,6 @@ def parse(text: str) -> Iterator[tuple[str, str]]:
         yield header, "".join(parts)
 
 
-def _records(files: DataFrame) -> DataFrame:
-    """Records of binary files (path, content), each parsed where it is read."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                text = (gzip.decompress(content) if path.endswith(".gz") else content).decode()
-                rows = list(parse(text))
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["path", "seq_index", "header", "seq"])
-
-    return files.select("path", "content").mapInArrow(run, SCHEMA)
-
-
 def records(spark: SparkSession, path: str) -> DataFrame:
     """(path, seq_index, header, seq) of one or more files, in order, each record parsed where it is read.
 
@@ -79,9 +64,9 @@ def read_plain(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream(spark: SparkSession, path: str) -> DataFrame:
-    """The same as a stream of files that arrive in a folder."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
-    return _records(files)
+    """(path, start, header, seq) of the files of a folder as a stream: files that arrive or grow, each record once."""
+    ranges.register(spark)
+    return spark.readStream.format("fasta").load(path)
 
 
 def genomes(rows: DataFrame, group_id: int = 0, group_name: str = "Group 0") -> DataFrame:

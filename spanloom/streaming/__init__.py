@@ -1,4 +1,4 @@
-"""Streams: FASTA files that arrive in a folder (see sources.fasta.stream). The library has no other streaming operators."""
+"""Streams: FASTA files that arrive or grow in a folder (see sources.ranges)."""
 
 from spanloom.sources.fasta import stream
 
