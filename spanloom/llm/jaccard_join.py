@@ -27,8 +27,9 @@ most tau = 1 - NUM/DEN. Texts with one and the same set are one point of the spa
    nearest one, the window of the triangle inequality. Where replication would not make regions smaller, the
    rest stays one region, smaller by its pivots.
 5. Regions are joined recursively: all regions in rounds of 3 and 4 by all tasks, until a region is one
-   component or a task can hold it (LEAF_POINTS, LEAF_BYTES). There each point in turn is the pivot for
-   the points in the window of its size that aren't in its component yet.
+   component or small (LEAF_POINTS, LEAF_BYTES). Then it is dealt into blocks of about BLOCK_POINTS points, and a
+   task for each two blocks joins these: each point in turn is the pivot for the points in the window of its size
+   that aren't in its component yet.
 
 Copies never meet as pairs: equal sets are one point, and a region of near copies is one star around
 a pivot. Class hashes are combined in each map task before they are dealt out, so one that a third of
@@ -76,8 +77,10 @@ SAMPLE, COMMON = 12_000, 2
 #: Common shingles are kept as a bitmap of 2^BITS bits; others that fall on a set bit count as common, too.
 BITS = 24
 MOST_COMMON = 1 << 20
-#: Points and bytes of shingles of a region that one task joins.
+#: Points and bytes of shingles of a region that is joined in blocks, without further pivots.
 LEAF_POINTS, LEAF_BYTES = 4_096, 32_000_000
+#: Points of a block of such a region; a task joins two blocks.
+BLOCK_POINTS = 512
 #: Keys (8 bytes each) that may be broadcast to pick out the sets of candidates; beyond, a shuffle join does it.
 BROADCAST_KEYS = 2_000_000
 _MAX_ROUNDS = 10_000
@@ -410,19 +413,23 @@ def _grown(links: DataFrame, new: DataFrame, labels: DataFrame) -> tuple[DataFra
 
 
 def _leaves(points: DataFrame, rings: Signer) -> DataFrame:
-    """(a, b) links that join components within regions that a task can hold; points: (region, point, label, n, at, data)."""
+    """(a, b) links that join components within small regions; points: (region, m, point, label, n, at, data), m being the region's points.
+
+    A task has two blocks of a region, or one, so no task has more than about 2 * BLOCK_POINTS points.
+    """
     num, den = rings.num, rings.den
 
-    def joined(point: list[int], label: list[int], n: list[int], at: list[bytes], data: list[bytes]) -> Iterator[tuple[int, int]]:
+    def joined(block: list[int], across: bool, point: list[int], label: list[int], n: list[int], at: list[bytes], data: list[bytes]) -> Iterator[tuple[int, int]]:
         order = np.lexsort((np.array(point), np.array(n)))
         size, names = np.array(n)[order], np.array(point)[order]
         x = np.frombuffer(b"".join(at), np.uint8).reshape(-1, COORDINATES)[order].astype(np.int16)
         sets = [np.frombuffer(data[i], np.uint64) for i in order]
         of = np.unique(np.array(label)[order], return_inverse=True)[1]
+        side = np.array(block)[order]
         for i in range(len(order) - 1):
             end = int(np.searchsorted(size * num, size[i] * den, "right"))
             others = np.arange(i + 1, end)
-            others = others[of[others] != of[i]]
+            others = others[(of[others] != of[i]) & ((side[others] != side[i]) | (not across))]
             if not len(others):
                 continue
             apart = np.abs(x[others] - x[i]).sum(axis=1, dtype=np.int64)
@@ -437,28 +444,31 @@ def _leaves(points: DataFrame, rings: Signer) -> DataFrame:
                     yield int(names[i]), int(names[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, ([], [], [], [], [])
+        at, held = None, ([], [], [], [], [], [])
         found: list[tuple[int, int]] = []
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int64())], names=["a", "b"])
 
         for b in slices(batches, 500):
-            for f, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if f != at:
+            for region, low, high, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (region, low, high) != at:
                     if len(held[0]) > 1:
-                        found += joined(*held)
-                    at, held = f, ([], [], [], [], [])
+                        found += joined(held[0], at[1] != at[2], *held[1:])
+                    at, held = (region, low, high), ([], [], [], [], [], [])
                 for h, v in zip(held, row, strict=True):
                     h.append(v)
             if found:
                 yield out()
                 found = []
         if len(held[0]) > 1:
-            found += joined(*held)
+            found += joined(held[0], at[1] != at[2], *held[1:])
         yield out()
 
-    rows = points.select("region", "point", "label", "n", "at", "data").repartition("region").sortWithinPartitions("region")
+    blocks = F.ceil(F.col("m") / BLOCK_POINTS).cast("int")
+    dealt = points.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("point", F.lit(3)), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = dealt.select("region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "point", "label", "n", "at", "data")
+    rows = rows.repartition("region", "low", "high").sortWithinPartitions("region", "low", "high")
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -480,11 +490,11 @@ def _joined(regions: DataFrame, sets: DataFrame, rings: Signer, pivots: int, lea
         rows = written(rows.join(open_, "region"), "join-active")
         discard(*held)
         if round_ or leaves_first:
-            # what a task can hold ends here
+            # what is small ends here
             sizes = rows.join(sets.select("point", "n"), "point").groupBy("region").agg((F.sum("n") * 8).alias("bytes"))
             fits = sizes.where(f"bytes <= {leaf_bytes}").select("region")
             leaves = written(rows.where(f"m <= {leaf_points}").join(fits, "region", "left_semi"), "join-leaves")
-            new = written(_leaves(leaves.select("region", "point", "label").join(sets, "point"), rings), "links")
+            new = written(_leaves(leaves.select("region", "m", "point", "label").join(sets, "point"), rings), "links")
             if told is not None:
                 told["leaves"] = told.get("leaves", 0) + leaves.select("region").distinct().count()
             links, labels = _grown(links, new, labels)
@@ -533,7 +543,7 @@ def _joined(regions: DataFrame, sets: DataFrame, rings: Signer, pivots: int, lea
 def grouped(docs: DataFrame, slim: DataFrame, signer: Signer, buckets: int, common: np.ndarray | None, *, text_col: str, n: int, pivots: int, leaf_points: int, leaf_bytes: int, told: dict[str, int] | None, leaves_first: bool = False) -> DataFrame:
     """One row for each of slim's: doc_id, row, n_shingles, component_id. Points with a signature of ``signer`` in common are candidates.
 
-    With ``leaves_first`` regions that a task can hold don't meet pivots at all.
+    With ``leaves_first`` small regions don't meet pivots at all.
     """
     shared = written(_regions(_signatures(docs, text_col, n, signer, buckets, common), buckets), "join-regions")
     # regions with the same members are one

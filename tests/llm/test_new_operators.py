@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import align, html_main, minmax, mixing, negatives
+from spanloom.llm import align, html_main, jaccard_join, minmax, mixing, negatives
 
 
 def lower(text):
@@ -51,8 +51,9 @@ def near_copies(seed, n=90):
     return [*rows, (7, rows[8][1]), (7, rows[7][1])]
 
 
-@pytest.mark.parametrize("leaf_points", [2, 1_024])
-def test_minmax_links_are_all_links(spark, leaf_points):
+@pytest.mark.parametrize(("leaf_points", "block_points"), [(2, 512), (1_024, 512), (1_024, 4)])
+def test_minmax_links_are_all_links(spark, monkeypatch, leaf_points, block_points):
+    monkeypatch.setattr(jaccard_join, "BLOCK_POINTS", block_points)
     rows = near_copies(3)
     docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id bigint, text string, component_id string, point int")
     got = minmax.clusters(docs, leaf_points=leaf_points).collect()
