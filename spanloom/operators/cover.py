@@ -54,6 +54,26 @@ def _window(seq: Column, at: Column, n: int) -> Column:
     return F.substring(seq, at + 1, F.lit(n))
 
 
+def block_rows(seq: Column, length: int, mismatches_: int) -> Column:
+    """Array of (b, kmer): a probe's or window's blocks."""
+    return F.array(*[F.struct(F.lit(b).alias("b"), _window(seq, F.lit(a), k).alias("kmer")) for b, (a, k) in enumerate(exact_blocks(length, mismatches_))])
+
+
+def first_block(length: int, mismatches_: int) -> Column:
+    """Whether no block before b is alike in window and probe: of several blocks without a mismatch the first tells of the pair."""
+    earlier = F.lit(False)
+    for b, (a, k) in enumerate(exact_blocks(length, mismatches_)):
+        earlier = earlier | ((F.col("b") > b) & (_window(F.col("window"), F.lit(a), k) == _window(F.col("probe"), F.lit(a), k)))
+    return ~earlier
+
+
+def windows_of(seqs: DataFrame, length: int) -> DataFrame:
+    """(keys, rc?, start, window) of every place; cut from pieces."""
+    extra = [c for c in ("rc",) if c in seqs.columns]
+    cut = pieces(seqs.select(*KEYS, *extra, "seq"), length - 1)
+    return cut.select(*KEYS, *extra, "from", F.posexplode(kmers(F.col("part"), length)).alias("i", "window")).select(*KEYS, *extra, (F.col("from") + F.col("i")).alias("start"), "window")
+
+
 def covers_full(probes: DataFrame, seqs: DataFrame, length: int, mismatches_: int = 0, *, own_group: bool = False) -> DataFrame:
     """Covers of probes of one length that match whole, with at most so many mismatches: (keys, rc?, probe_id, start, end).
 
@@ -62,24 +82,18 @@ def covers_full(probes: DataFrame, seqs: DataFrame, length: int, mismatches_: in
     and windows are never shuffled. With ``own_group`` probes meet sequences of their own group only.
     """
     extra = [c for c in ("rc",) if c in seqs.columns]
-    parts = exact_blocks(length, mismatches_)
-    tell = lambda i: F.explode(F.array(*[F.struct(F.lit(b).alias("b"), _window(F.col(i), F.lit(a), k).alias("kmer")) for b, (a, k) in enumerate(parts)]))
+    tell = lambda i: F.explode(block_rows(F.col(i), length, mismatches_))
     group = F.col("group_id") if own_group else F.lit(0)
     index = probes.where(F.char_length("seq") == length).select(group.alias("pg"), "probe_id", F.col("seq").alias("probe"), tell("seq").alias("x")).select("pg", "probe_id", "probe", "x.b", "x.kmer")
     index = F.broadcast(index) if _small(index) else index
-    cut = pieces(seqs.select(*KEYS, *extra, "seq"), length - 1)
-    wins = cut.select(*KEYS, *extra, "from", F.posexplode(kmers(F.col("part"), length)).alias("i", "window")).select(*KEYS, *extra, (F.col("from") + F.col("i")).alias("start"), "window")
+    wins = windows_of(seqs, length)
     same = (F.col("group_id") == F.col("pg")) if own_group else F.lit(True)
     if mismatches_ == 0:
         hit = wins.join(index, (F.col("window") == F.col("probe")) & same)
     else:
         seeds = wins.withColumn("x", tell("window")).select(*KEYS, *extra, "start", "window", F.col("x.b").alias("wb"), F.col("x.kmer").alias("wk"))
         hit = seeds.join(index, (F.col("wb") == F.col("b")) & (F.col("wk") == F.col("kmer")) & same)
-        # of several blocks without a mismatch the first tells of the pair
-        earlier = F.lit(False)
-        for b, (a, k) in enumerate(parts):
-            earlier = earlier | ((F.col("b") > b) & (_window(F.col("window"), F.lit(a), k) == _window(F.col("probe"), F.lit(a), k)))
-        hit = hit.where(~earlier).where(mismatches(F.col("window"), F.col("probe")) <= mismatches_)
+        hit = hit.where(first_block(length, mismatches_)).where(mismatches(F.col("window"), F.col("probe")) <= mismatches_)
     return hit.select(*KEYS, *extra, "probe_id", F.col("start").cast("bigint").alias("start"), (F.col("start") + length).cast("bigint").alias("end"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.sequences import dna_of_text, identifier, jaccard_of_mash, jaccard_of_mash_column, kmers, reverse_complement, round_down, round_up, signature
-from spanloom.operators import adapters, analysis, cluster, cover, design, filters, intervals, near_duplicates, tiling
+from spanloom.operators import adapters, analysis, cluster, cover, design, filters, index, intervals, near_duplicates, tiling
 from spanloom.operators.shared import scratch
 from spanloom.plans import coverage, pipeline, pool
 from spanloom.sources import ranges
@@ -155,6 +155,14 @@ def join_mismatch(spark, sf_dir):
     return named(benchmark_covers(spark, sf_dir, 2), probes(spark, sf_dir)).select("genome_id", "start", "end", "seq")
 
 
+def join_persisted(spark, sf_dir):
+    """One index of the probes, written once and joined with two targets: the documents and their reverse complements."""
+    made = index.save(probes(spark, sf_dir), scratch(spark, "probe-index"), L)
+    strands = cover.both_strands(genomes(spark, sf_dir))
+    hits = [index.covers(made, strands.where("rc" if rc else "not rc")) for rc in (False, True)]
+    return named(hits[0].unionByName(hits[1]), probes(spark, sf_dir)).select("genome_id", "rc", "start", "end", "seq")
+
+
 def join_seeded(spark, sf_dir):
     p = probes(spark, sf_dir)
     return cover.covers_seeded(p, genomes(spark, sf_dir), cover.full_index(p, 8), 8, cover.predicate(2, 24)).select("genome_id", "probe_id", "start", "end")
@@ -345,7 +353,7 @@ def fasta_written(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NAMES = """seq_stats fasta_written seq_reverse_complement seq_fragments seq_kmer_counts seq_candidates dedup_multiplicity dedup_union_distinct filter_fasta_membership
 filter_poly filter_first_per_group filter_sample_per_group expand_n probe_identifier probe_reverse_complements hamming_pairs jaccard_pairs minhash_signatures
-mash_distances join_exact join_mismatch join_seeded join_short seq_candidates_small analysis_matrix pool_standard_bounds interval_merge interval_union interval_intersection interval_difference interval_lengths interval_schedule
+mash_distances join_exact join_mismatch join_persisted join_seeded join_short seq_candidates_small analysis_matrix pool_standard_bounds interval_merge interval_union interval_intersection interval_difference interval_lengths interval_schedule
 coverage_report coverage_depth coverage_sliding coverage_map_counts coverage_console rank_groups_hit rank_avoided rank_probes graph_components pool_interpolation
 pool_bounds pool_search near_hamming near_jaccard near_redundant near_dominating design_probes design_adapters cluster_simple cluster_average cluster_simple_documents cluster_average_documents""".split()
 
@@ -433,6 +441,7 @@ c AS (SELECT rep AS node, rep AS seen FROM r UNION SELECT c.node, w.j FROM c JOI
 SELECT s.seq_id, cluster FROM s JOIN r USING (sig) JOIN (SELECT node, min(seen) AS cluster FROM c GROUP BY node) t ON t.node = r.rep""",
     "mash_distances": "SELECT n_nationkey, round(1 - 1 / (2 * exp(12 * ((n_nationkey + 1) / 100)) - 1), 9) AS distance, (ceil(n_nationkey / 7) * 7)::BIGINT AS up, (floor(n_nationkey / 7) * 7)::BIGINT AS down FROM nation",
     "join_exact": f"WITH {_G}, {_I}, {_P}, {_ALL} SELECT genome_id, start, \"end\", seq FROM a JOIN p ON win = seq",
+    "join_persisted": f"WITH {_COVERS} SELECT genome_id, rc, start, \"end\", seq FROM c",
     "join_mismatch": f"""WITH {_G}, {_I}, {_P}, {_ALL}, s AS (SELECT *, unnest([0, 10, 20]) AS o FROM p), k AS (SELECT seq, o, substr(seq, o + 1, 10) AS b FROM s),
 x AS (SELECT *, unnest([0, 10, 20]) AS o FROM a)
 SELECT DISTINCT genome_id, start, "end", seq FROM x JOIN k ON x.o = k.o AND substr(win, x.o + 1, 10) = b WHERE hamming(win, seq) <= 2""",
