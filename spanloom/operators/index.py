@@ -5,7 +5,8 @@ probe_id, probe. They are a table bucketed and sorted by b and kmer, under a fol
 it has the probes' length, the mismatches, the buckets and the numbers of probes and blocks. It is written last, so a folder
 without it (a save that was cut short) isn't an index, and ``load`` says so. Any session can load the folder.
 
-A target's windows are made distinct first, in each map task and then by their letters, so that a window which a third
+Of a target's windows only those that have a block with a hash of the index become rows (all, if it has more than
+``cover.BROADCAST_ROWS`` different ones). They are made distinct first, in each map task and then by their letters, so that a window which a third
 of all places share meets the index once; its places are joined with what it met afterwards, a join that Spark may broadcast
 or, where it is skewed, split. The index side of the join has no exchange.
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.sequences import mismatches
 
-from .cover import block_rows, exact_blocks, first_block, windows_of
+from .cover import block_rows, exact_blocks, first_block, hashes_of, windows_of
 from .tiling import KEYS
 
 #: Blocks of a bucket, about: what a task sorts.
@@ -86,7 +87,8 @@ def load(spark: SparkSession, path: str) -> Index:
 def covers(index: Index, seqs: DataFrame) -> DataFrame:
     """Covers of the index's probes that match whole, with at most its mismatches: (keys, rc?, probe_id, start, end), as by ``covers_full``."""
     extra = [c for c in ("rc",) if c in seqs.columns]
-    wins = windows_of(seqs, index.length)
+    blocks = [(index.length, a, k) for a, k in exact_blocks(index.length, index.mismatches)]
+    wins = windows_of(seqs, blocks, hashes_of(index.table), once=True)
     seeds = wins.select("window").distinct().withColumn("x", F.explode(block_rows(F.col("window"), index.length, index.mismatches)))
     # joined by the columns of the buckets and no others, or else Spark would shuffle the index
     hit = seeds.select("window", "x.b", "x.kmer").join(index.table.hint("merge"), ["b", "kmer"]).where(first_block(index.length, index.mismatches))
