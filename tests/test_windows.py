@@ -1,5 +1,6 @@
 """Kernels over the letters of a batch, against plain Python; and that only windows with a probe's hash become rows."""
 
+import itertools
 import random
 import re
 from collections import Counter
@@ -8,8 +9,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.functions import windows
-from spanloom.operators import cover
+from spanloom.functions import sequences, windows
+from spanloom.operators import cover, tiling
 
 KINDS = [(["ACGT" * 5 + "NN" + "ACGTT" * 4, "", "ACG", "NNNNACGTACGTANNA" * 3, "N" * 20, "ACGTNACGTNNNNNNACGTA"]), (["AÄC\U0001d11eGNN" * 9, "ACGT" * 7, "", "äN"])]
 
@@ -71,3 +72,24 @@ def test_only_wanted_windows(spark):
     assert cover.windows_of(seqs, [(30, 0, 30)]).count() == 4 * 2_971
     for m in (0, 2):
         assert {(x["genome_id"], x["probe_id"], x["start"]) for x in cover.covers_full(probes, seqs, 30, m).collect()} == {(p, p, 100 * p) for p in range(4)}
+
+
+@pytest.mark.parametrize("span", [2, 1 << 18])
+def test_expanding(monkeypatch, span):
+    monkeypatch.setattr(windows, "SPAN", span)
+    texts = ["ANNC", "ACGT", "", "NäNN", "NNGT", "TTTN"]
+    want = [(i, "".join(c)) for i, t in enumerate(texts) for c in itertools.product(*["ATCG" if x == "N" else x for x in t])]
+    assert sorted(rows(windows.expanding(["id"]), texts)) == sorted(want)
+
+
+def test_texts_strands_and_whole_probes(spark):
+    texts = ["Ab. cd .. x. ", None, "İstanbul ß. Ä 𝄞. z", "", " ", ". . .  .", " a.\n b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "genome_id int, text string")
+    plain = dict(df.select("genome_id", F.coalesce(sequences.dna_of_text(F.col("text")), F.lit(""))).collect())
+    assert dict(tiling.spelt(df).collect()) == plain
+    seqs = spark.createDataFrame([(0, i, 0, t) for i, t in enumerate(["ACGTNNäAC", None, "", "AACAACA"])], "group_id int, genome_id int, chr_idx int, seq string")
+    both = {(r["genome_id"], r["rc"]): r["seq"] for r in cover.both_strands(seqs).collect()}
+    assert both == {(0, False): "ACGTNNäAC", (0, True): "GTäNNACGT", (1, False): None, (1, True): None, (2, False): "", (2, True): "", (3, False): "AACAACA", (3, True): "TGTTGTT"}
+    probes = spark.createDataFrame([(1, "AC"), (2, "AACA"), (3, "GG"), (4, "")], "probe_id int, seq string")
+    assert sorted(tuple(r)[1:] for r in cover.covers_whole(probes, seqs).select("group_id", "genome_id", "probe_id", "start", "end").collect()) == [(0, 1, 0, 2), (0, 1, 7, 9), (3, 1, 1, 3), (3, 1, 4, 6), (3, 2, 0, 7)]
+    assert cover.covers_whole(probes.limit(0), seqs).count() == 0
