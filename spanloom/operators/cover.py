@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import windows
 from spanloom.functions.kernels import exact_run, longest_around
-from spanloom.functions.sequences import blocks, kmers, mismatches, reverse_complement
+from spanloom.functions.sequences import blocks, kmers, mismatches
 
 from .intervals import merged
 from .tiling import KEYS, pieces_around
@@ -48,8 +48,10 @@ def block_index(probes: DataFrame, k: int) -> DataFrame:
 
 def both_strands(seqs: DataFrame, rc_too: bool = True) -> DataFrame:
     """seqs with rc, once as they are and once reverse-complemented."""
-    out = seqs.withColumn("rc", F.lit(False))
-    return out.unionByName(seqs.withColumn("seq", reverse_complement(F.col("seq"))).withColumn("rc", F.lit(True))) if rc_too else out
+    if not rc_too:
+        return seqs.withColumn("rc", F.lit(False))
+    kinds = ", ".join(f"`{c}` {t}" for c, t in seqs.dtypes)
+    return seqs.mapInArrow(windows.stranded(seqs.columns), f"{kinds}, rc boolean")
 
 
 def _window(seq: Column, at: Column, n: int) -> Column:
@@ -119,6 +121,23 @@ def covers_full(probes: DataFrame, seqs: DataFrame, length: int, mismatches_: in
     return hit.select(*KEYS, *extra, "probe_id", F.col("start").cast("bigint").alias("start"), (F.col("start") + length).cast("bigint").alias("end"))
 
 
+def covers_whole(probes: DataFrame, seqs: DataFrame) -> DataFrame:
+    """Where probes of any lengths occur whole without mismatches, merged: (keys, rc?, probe_id, start, end).
+
+    Windows of each length that probes have are joined with the probes of that length, of windows only those with a hash of these.
+    """
+    keys = [*KEYS, *[c for c in ("rc",) if c in seqs.columns]]
+    lengths = sorted(r[0] for r in probes.select(F.char_length("seq")).distinct().where(F.char_length("seq") > 0).collect())
+    if not lengths:
+        return windows_of(seqs, [(1, 0, 1)], {}).select(*keys, F.lit(None).cast(probes.schema["probe_id"].dataType).alias("probe_id"), F.col("start").cast("bigint").alias("start"), F.col("start").cast("bigint").alias("end")).limit(0)
+    b = F.element_at(F.create_map(*[x for i, n in enumerate(lengths) for x in (F.lit(n), F.lit(i))]), F.char_length("seq"))
+    index = probes.where(F.char_length("seq") > 0).select(b.alias("b"), F.col("seq").alias("kmer"), "probe_id")
+    small = _small(index)
+    wins = windows_of(seqs, [(n, 0, n) for n in lengths], hashes_of(index) if small else None)
+    hit = wins.withColumnRenamed("window", "kmer").join(F.broadcast(index) if small else index, ["b", "kmer"])
+    return merged(hit.select(*keys, "probe_id", F.col("start").cast("bigint").alias("start"), (F.col("start") + F.char_length("kmer")).cast("bigint").alias("end")), [*keys, "probe_id"])
+
+
 Cover = Callable[[str, str, int, int, int, int], "tuple[int, int] | None"]
 
 

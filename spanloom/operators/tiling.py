@@ -64,6 +64,13 @@ def candidates(seqs: DataFrame, window: int, stride: int, *, n_run: int = 2, all
     return seqs.select(*KEYS, "seq").mapInArrow(windows.tiling(KEYS, window, stride, n_run, allow_small, skip, flanks), f"{kinds}, kind int, pos int, seq string")
 
 
+def spelt(texts: DataFrame) -> DataFrame:
+    """texts (keys, text) as sequences (keys, seq) by ``sequences.dna_of_text``; null is an empty sequence."""
+    keys = [c for c in texts.columns if c != "text"]
+    kinds = ", ".join(f"`{c}` {t}" for c, t in texts.dtypes if c != "text")
+    return texts.withColumn("text", F.lower("text")).mapInArrow(windows.spelling(keys, "text"), f"{kinds}, seq string")
+
+
 def kmer_counts(seqs: DataFrame, k: int) -> DataFrame:
     """(kmer, n) of all substrings of k letters; tasks count theirs, so that few rows are added up."""
     return seqs.select("seq").mapInArrow(windows.counting(k), "kmer string, n bigint").groupBy("kmer").agg(F.sum("n").alias("n"))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions.sequences import dna_of_text, identifier, jaccard_of_mash, jaccard_of_mash_column, reverse_complement, round_down, round_up, signature
+from spanloom.functions.sequences import identifier, jaccard_of_mash, jaccard_of_mash_column, reverse_complement, round_down, round_up, signature
 from spanloom.operators import adapters, analysis, cluster, cover, design, filters, index, intervals, near_duplicates, tiling
 from spanloom.operators.shared import scratch
 from spanloom.plans import coverage, pipeline, pool
@@ -30,11 +30,11 @@ def genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     group = F.lit(len(GROUPS))
     for i, g in enumerate(GROUPS):
         group = F.when(F.col("lang") == g, i).otherwise(group)
-    return table(spark, sf_dir, "documents").select(group.alias("group_id"), F.col("doc_id").alias("genome_id"), F.lit(0).alias("chr_idx"), F.coalesce(dna_of_text(F.col("text")), F.lit("")).alias("seq"))
+    return tiling.spelt(table(spark, sf_dir, "documents").select(group.alias("group_id"), F.col("doc_id").alias("genome_id"), F.lit(0).alias("chr_idx"), "text"))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.lit(0).alias("group_id"), F.col("item_id").alias("genome_id"), F.lit(0).alias("chr_idx"), F.coalesce(dna_of_text(F.col("text")), F.lit("")).alias("seq"))
+    return tiling.spelt(table(spark, sf_dir, "benchmark").select(F.lit(0).alias("group_id"), F.col("item_id").alias("genome_id"), F.lit(0).alias("chr_idx"), "text"))
 
 
 def windows(seqs: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def join_short(spark, sf_dir):
     """Where sequences that are shorter than windows occur."""
     n = F.char_length("seq")
     p = small_or_tall(spark, sf_dir).where((n >= SMALL) & (n < L)).select("seq").distinct().select(F.lit(0).alias("group_id"), F.xxhash64("seq").alias("probe_id"), "seq")
-    found = cover.covers_seeded(p, genomes(spark, sf_dir), cover.full_index(p, SMALL).where("pos = 0"), SMALL, cover.whole_probe)
+    found = cover.covers_whole(p, genomes(spark, sf_dir))
     return named(found, p).select("genome_id", "seq", "start", "end")
 
 
