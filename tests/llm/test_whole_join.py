@@ -39,3 +39,28 @@ def test_copies_in_an_even_number_of_partitions(spark):
     assert df.rdd.getNumPartitions() == 3
     got = {r.doc_id: r.component_id for r in jaccard_join.clusters(df).collect()}
     assert {r.doc_id: least[r.text] for r in df.collect()} == got
+
+
+def test_a_region_of_several_blocks_meets_no_pivots(spark, monkeypatch):
+    """Near copies, of which few link, in a region larger than a block: pivots would meet up to PIVOTS times its points."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_POINTS", 8)
+    rng = random.Random(9)
+    say = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    centre = say(300)
+    rows = []
+    for k in range(40):
+        w = list(centre)
+        at = rng.randrange(200)
+        w[at : at + 14 + k % 3] = say(14 + k % 3)
+        rows.append((k, " ".join(w)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for _, t in rows for w in [t.split()]]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    told = {}
+    got = {r.doc_id: r.component_id for r in jaccard_join.clusters(spark.createDataFrame(rows, "doc_id long, text string"), told=told).collect()}
+    assert got == dict(enumerate(label))
+    assert told["leaves"] > 0 and told.get("pivots", 0) == 0, told
