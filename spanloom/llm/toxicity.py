@@ -32,7 +32,7 @@ from .common import ALNUM, mix, slices, small_batches, without, words_of, writte
 
 TRAIN_ROWS = 10_000
 #: Occurrences that are added up at once.
-CHUNK = 1_000_000
+CHUNK = 250_000
 BITS = 20
 PREFIXES = (4, 5, 6, 7)
 FOLDS = 3
@@ -73,7 +73,22 @@ class Rows:
     @classmethod
     def of(cls, rows: Sequence[np.ndarray]) -> Rows:
         at = np.concatenate(rows) if len(rows) else np.empty(0, dtype=np.int32)
-        return cls(at, np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows]), len(rows))
+        return cls(at, cls.places([len(r) for r in rows]), len(rows))
+
+    @staticmethod
+    def places(sizes: Sequence[int]) -> np.ndarray:
+        return np.repeat(np.arange(len(sizes), dtype=np.uint16 if len(sizes) <= 1 << 16 else np.int32), np.asarray(sizes, dtype=np.int64))
+
+    def only(self, number: np.ndarray) -> Rows:
+        """The features with a number of at least 0, under it; CHUNK occurrences are looked up at once."""
+        size = sum(int((number[self.at[i : i + CHUNK]] >= 0).sum()) for i in range(0, len(self.at), CHUNK))
+        out, to = Rows(np.empty(size, dtype=np.int32), np.empty(size, dtype=self.row.dtype), self.n), 0
+        for i in range(0, len(self.at), CHUNK):
+            at = number[self.at[i : i + CHUNK]]
+            inside = at >= 0
+            was, to = to, to + int(inside.sum())
+            out.at[was:to], out.row[was:to] = at[inside], self.row[i : i + CHUNK][inside]
+        return out
 
     def _sums(self, by: np.ndarray, of: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros(n)
@@ -92,21 +107,23 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(rows: Rows, more: np.ndarray, y: np.ndarray, use: np.ndarray) -> np.ndarray:
-    """Weights of the features, of the columns of ``more`` and the bias, by Adagrad over all rows in use; classes weigh alike."""
-    n, k = 1 << BITS, more.shape[1]
+def fit(rows: Rows, more: np.ndarray, y: np.ndarray, use: np.ndarray, n: int = 1 << BITS) -> np.ndarray:
+    """Weights of the n features, of the columns of ``more`` and the bias, by Adagrad over all rows in use; classes weigh alike."""
+    k = more.shape[1]
     w = np.zeros(n + k + 1)
     if not use.any() or y[use].min() == y[use].max():
         w[-1] = -40.0
         return w
-    yes, no = rows.back((y * use).astype(float), n), rows.back(((1 - y) * use).astype(float), n)
-    odds = np.log((yes + 1) / (y[use].sum() + 2)) - np.log((no + 1) / ((1 - y[use]).sum() + 2))
-    which = np.flatnonzero((yes + no >= LEAST_DOCS) & (np.abs(odds) >= LEAST_ODDS))
-    odds, number = odds[which], np.full(n, -1, dtype=np.int32)
+    # counts of documents, which are whole numbers
+    yes, no = (rows.back((v * use).astype(float), n).astype(np.int32) for v in (y, 1 - y))
+    which = np.flatnonzero(yes + no >= LEAST_DOCS)
+    odds = np.log((yes[which] + 1) / (y[use].sum() + 2)) - np.log((no[which] + 1) / ((1 - y[use]).sum() + 2))
+    del yes, no
+    which, odds = which[np.abs(odds) >= LEAST_ODDS], odds[np.abs(odds) >= LEAST_ODDS]
+    number = np.full(n, -1, dtype=np.int32)
     number[which] = np.arange(len(which), dtype=np.int32)
-    inside = number[rows.at] >= 0
-    few = Rows(number[rows.at[inside]], rows.row[inside], rows.n)
-    del number, inside
+    few = rows.only(number)
+    del number
     weight = np.where(y == 1, 0.5 / y[use].mean(), 0.5 / (1 - y[use].mean())) * use / use.sum()
     m = len(which)
     v = np.zeros(m + k + 1)
@@ -140,35 +157,76 @@ def threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order][k] + below) / 2)
 
 
+def numbers(which: np.ndarray) -> np.ndarray:
+    """Of each of the 2^BITS features its place in ``which``, or -1."""
+    out = np.full(1 << BITS, -1, dtype=np.int32)
+    out[which] = np.arange(len(which), dtype=np.int32)
+    return out
+
+
 @dataclass
 class Chain:
+    """Models; each of ``short`` has weights for the features ``which``, then for the probabilities of earlier categories, and the bias."""
+
     names: list[str]
-    weights: list[np.ndarray]
+    short: list[np.ndarray]
     thresholds: list[float]
+    which: np.ndarray
+
+    @property
+    def weights(self) -> list[np.ndarray]:
+        """The models with weights for all 2^BITS features."""
+        out = []
+        for w in self.short:
+            every = np.zeros(1 << BITS)
+            every[self.which] = w[: len(self.which)]
+            out.append(np.r_[every, w[len(self.which) :]])
+        return out
 
     def scores(self, rows: Rows) -> np.ndarray:
-        n = 1 << BITS
+        n = len(self.which)
+        rows = rows.only(numbers(self.which))
         p = np.zeros((rows.n, 0))
-        for w in self.weights:
+        for w in self.short:
             p = np.c_[p, sigmoid(rows.dot(w[:n]) + p @ w[n:-1] + w[-1])]
         return p
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, names: Sequence[str], fold: np.ndarray) -> Chain:
+def frequent(rows: Sequence[np.ndarray]) -> tuple[Rows, np.ndarray]:
+    """The rows with the features of at least LEAST_DOCS documents, which are numbered, and these features: others have no weight in any model."""
+    docs = np.zeros(1 << BITS, dtype=np.int32)
+    for at in rows:
+        docs[at] += 1  # they are distinct in a row
+    which = np.flatnonzero(docs >= LEAST_DOCS).astype(np.int32)
+    number, sizes, to = numbers(which), np.zeros(len(rows), dtype=np.int64), 0
+    every = np.empty(int(docs[which].sum()), dtype=np.int32)
+    for i, at in enumerate(rows):
+        at = number[at]
+        at = at[at >= 0]
+        every[to : to + len(at)] = at
+        sizes[i], to = len(at), to + len(at)
+    return Rows(every, Rows.places(sizes), len(rows)), which
+
+
+def train(rows: Sequence[np.ndarray], labels: np.ndarray, names: Sequence[str], fold: np.ndarray) -> Chain:
     """labels: a row for each document, a column for each category; fold: the fold of each document."""
-    x = Rows.of(rows)
-    before = np.zeros((len(rows), 0))
+    return trained(*frequent(rows), labels, names, fold)
+
+
+def trained(x: Rows, which: np.ndarray, labels: np.ndarray, names: Sequence[str], fold: np.ndarray) -> Chain:
+    n = len(which)
+    before = np.zeros((x.n, 0))
     weights, thresholds = [], []
     for c in range(len(names)):
         y = labels[:, c].astype(float)
-        out = np.zeros(len(rows))
+        out = np.zeros(x.n)
         for f in range(FOLDS):
-            w = fit(x, before, y, fold != f)
-            out[fold == f] = sigmoid(x.dot(w[: 1 << BITS]) + before @ w[1 << BITS : -1] + w[-1])[fold == f]
-        weights.append(fit(x, before, y, np.ones(len(rows), dtype=bool)))
+            w = fit(x, before, y, fold != f, n)
+            out[fold == f] = sigmoid(x.dot(w[:n]) + before @ w[n:-1] + w[-1])[fold == f]
+        weights.append(fit(x, before, y, np.ones(x.n, dtype=bool), n))
         thresholds.append(threshold(out, y))
         before = np.c_[before, out]
-    return Chain(list(names), weights, thresholds)
+    return Chain(list(names), weights, thresholds, which)
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", categories: Sequence[tuple[str, str | Column]] = CATEGORIES, train_rows: int = TRAIN_ROWS) -> Chain:
@@ -190,16 +248,21 @@ def fit_chain(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
     kind = T.StructType([text.schema["label_id"], *[T.StructField(f"y{i}", T.IntegerType()) for i in range(len(categories))], T.StructField("data", T.BinaryType())])
     # an id may repeat: one of its texts is enough
     got = text.mapInArrow(run, kind).groupBy("label_id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(categories))], F.max("data").alias("data")).withColumn("fold", F.pmod(F.xxhash64("label_id", F.lit(3)), F.lit(FOLDS))).orderBy("label_id").toArrow()
-    sets = [np.frombuffer(d, np.int32) for d in got.column("data").to_pylist()]
+    # views of Arrow's buffers: only features with weights are copied
+    sets = [np.frombuffer(d.as_buffer(), np.int32) for d in got.column("data")]
     y = np.stack([got.column(f"y{i}").to_numpy() for i in range(len(categories))], axis=1) if len(sets) else np.zeros((0, len(categories)))
-    return train(sets, y, [n for n, _ in categories], got.column("fold").to_numpy())
+    fold = got.column("fold").to_numpy().copy()
+    x, which = frequent(sets)
+    del sets, got
+    pa.default_memory_pool().release_unused()
+    return trained(x, which, y, [n for n, _ in categories], fold)
 
 
 def scored(docs: DataFrame, chain: Chain, *, text_col: str = "text", name: str = "tox_") -> DataFrame:
     """docs without the text, with an array of the categories' probabilities in the order of the chain."""
     at = docs.columns.index(text_col)
     kind = T.StructType([*[f for f in docs.schema.fields if f.name != text_col], T.StructField(name, T.ArrayType(T.DoubleType()))])
-    model = docs.sparkSession.sparkContext.broadcast(chain)  # 2^BITS weights for each category
+    model = docs.sparkSession.sparkContext.broadcast(chain)  # at most 2^BITS weights for each category
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -253,3 +254,26 @@ def test_toxicity_chain_uses_earlier_categories():
     assert chain.weights[1][1 << toxicity.BITS] > 0
     assert (chain.scores(toxicity.Rows.of(rows))[:, 1].round() == y).all()
     assert re.fullmatch("a|b", chain.names[0]) and F is not None
+
+
+def test_training_holds_little_on_the_driver():
+    """Arrays are as long as the features that can have a weight, not 2^BITS; the models are those of all features."""
+    rng = np.random.default_rng(5)
+    common = np.sort(rng.choice(1 << toxicity.BITS, 3_000, replace=False))
+    y = rng.random(2_000) < 0.5
+    rows = []
+    for yes in y:
+        some = common[:1_500] if yes else common[500:]
+        rows.append(np.unique(np.r_[rng.choice(some, 40), rng.integers(0, 1 << toxicity.BITS, 100)]).astype(np.int32))
+    labels, fold = y[:, None].astype(int), rng.integers(0, toxicity.FOLDS, len(rows))
+    tracemalloc.start()
+    try:
+        chain = toxicity.train(rows, labels, ["a"], fold)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 20_000_000
+    every = toxicity.fit(toxicity.Rows.of(rows), np.zeros((len(rows), 0)), y.astype(float), np.ones(len(rows), dtype=bool))
+    assert np.array_equal(chain.weights[0], every)
+    scores = toxicity.sigmoid(toxicity.Rows.of(rows).dot(every[:-1]) + every[-1])
+    assert np.allclose(chain.scores(toxicity.Rows.of(rows))[:, 0], scores, rtol=0, atol=1e-12)
