@@ -75,7 +75,8 @@ class Hashes:
         top = k.bit_length() - 1
         while len(self.levels) <= top:
             w, h = 1 << (len(self.levels) - 1), self.levels[-1]
-            self.levels.append(h[: max(0, len(h) - w)] * np.uint64(0x9E3779B97F4A7C15) + h[w:])
+            # a polynomial of the letters: each place has a factor of its own
+            self.levels.append(h[: max(0, len(h) - w)] * np.uint64(pow(0x9E3779B97F4A7C15, w, 1 << 64)) + h[w:])
         w, h = 1 << top, self.levels[top]
         n = max(0, len(self.levels[0]) - k + 1)
         # hashed by both ends, which overlap
@@ -214,8 +215,55 @@ def windowing(keys: Sequence[str], blocks: Sequence[tuple[int, int, int]], wante
     return run
 
 
-def seeding(keys: Sequence[str], k: int, reach: int, wanted: Wanted) -> Run:
-    """(keys, i, n, lead, part) of all places i whose k letters are wanted: the letters around these, ``reach`` on both sides or to the row's ends, and its length n."""
+class Seeds:
+    """An index of k-mers of probes in arrays: which places have a probe that may be alike.
+
+    kmer (hash), pos and probe are those of the index's rows. ``equal`` tells, for the lesser length of probe and sequence, how many letters of a probe must be
+    those of the sequence where its k-mer is put on a place.
+    """
+
+    def __init__(self, kmer: np.ndarray, pos: np.ndarray, probe: pa.Array, equal: Callable[[np.ndarray], np.ndarray]) -> None:
+        order = np.argsort(kmer, kind="stable")
+        self.kmers, first = np.unique(kmer[order], return_index=True)
+        self.ends = np.append(first, len(kmer))
+        codes, offsets = letters_of(probe)
+        self.sizes, self.width, self.equal = np.diff(offsets)[order], int(np.diff(offsets).max(initial=1)), equal
+        # each probe from any letter on is a row of ``width`` letters of this array, with 0 behind its end
+        self.letters = np.zeros(len(probe) * 2 * self.width, codes.dtype)
+        row = np.repeat(np.arange(len(probe)), np.diff(offsets))
+        self.letters[row * 2 * self.width + np.arange(len(codes)) - offsets[row]] = codes
+        self.starts, self.pos = order * 2 * self.width, pos[order]
+
+    def alike(self, codes: np.ndarray, offsets: np.ndarray, at: np.ndarray, rows: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Whether places (with the row and the hash of each) have a probe with as many equal letters."""
+        out = np.zeros(len(at), bool)
+        slot = np.searchsorted(self.kmers, h)
+        n = self.ends[slot + 1] - self.ends[slot]
+        sums, z = np.cumsum(n), 0
+        while z < len(at):
+            a = z
+            z = max(a + 1, int(np.searchsorted(sums, sums[a] + 16 * SPAN // self.width)))
+            place = np.repeat(np.arange(a, z), n[a:z])
+            x = np.arange(len(place)) - np.repeat(np.cumsum(n[a:z]) - n[a:z], n[a:z]) + self.ends[slot[place]]
+            begin, end = offsets[rows[place]], offsets[rows[place] + 1]
+            left = np.maximum(at[place] - self.pos[x], begin)
+            over = left - (at[place] - self.pos[x])
+            m = np.minimum(self.sizes[x] - over, end - left)
+            low, high = int(left.min()), int(min(left.max() + self.width, len(codes)))
+            here = np.concatenate([codes[low:high], np.zeros(self.width, codes.dtype)])
+            same = np.lib.stride_tricks.sliding_window_view(here, self.width)[left - low] == np.lib.stride_tricks.sliding_window_view(self.letters, self.width)[self.starts[x] + over]
+            many = np.count_nonzero(same, axis=1)
+            short = np.flatnonzero(m < self.width)
+            many[short] = np.count_nonzero(same[short] & (np.arange(self.width) < m[short, None]), axis=1)
+            out[place[many >= self.equal(np.minimum(self.sizes[x], end - begin))]] = True
+        return out
+
+
+def seeding(keys: Sequence[str], k: int, reach: int, wanted: Wanted, seeds: Seeds | None = None) -> Run:
+    """(keys, i, n, lead, part) of all places i whose k letters are wanted: the letters around these, ``reach`` on both sides or to the row's ends, and its length n.
+
+    With ``seeds`` only places that are ``alike`` to a probe.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, 4 * SPAN // (k + 2 * reach))
@@ -225,10 +273,14 @@ def seeding(keys: Sequence[str], k: int, reach: int, wanted: Wanted) -> Run:
                 letters = codes[c : c + SPAN + k - 1]
                 if len(letters) < k:
                     continue
-                at = c + wanted.places(Hashes(letters).of(k))
+                h = Hashes(letters).of(k)
+                at = c + wanted.places(h)
                 rows = _rows_of(offsets, at)
                 inside = at + k <= offsets[rows + 1] if len(at) else np.zeros(0, bool)
                 at, rows = at[inside], rows[inside]
+                if seeds is not None and len(at):
+                    some = seeds.alike(codes, offsets, at, rows, h[at - c])
+                    at, rows = at[some], rows[some]
                 for a in range(0, len(at), step):
                     p, r = at[a : a + step], rows[a : a + step]
                     lo = np.maximum(offsets[r], p - reach)

@@ -160,6 +160,8 @@ def predicate(mismatches_: int, lcf: int, island: int = 0) -> Cover:
         return good, at, at + best
 
     covers.many = many
+    #: Letters that a stretch has in common at least.
+    covers.equal = lambda whole: np.minimum(lcf, whole) - mismatches_
     return covers
 
 
@@ -168,11 +170,21 @@ def whole_probe(probe: str, seq: str, start: int, end: int, whole_probe_: int, w
     return (0, whole_probe_) if len(probe) == whole_probe_ and probe == seq else None
 
 
+def _seeds(named: DataFrame, cover: Cover) -> windows.Seeds | None:
+    """The rows (kmer, pos, probe) of a small index for the tasks that cut places: numbers and probes, no more than its broadcast has."""
+    rows = named.select("pos", "probe", "kmer").mapInArrow(windows.hashing(["pos", "probe"], "kmer"), "pos int, probe string, h bigint, k int").select("h", "pos", "probe").distinct().toArrow().combine_chunks()
+    if not rows.num_rows:
+        return None
+    h, pos, probe = (rows.column(x).combine_chunks() for x in ("h", "pos", "probe"))
+    return windows.Seeds(h.to_numpy().view(np.uint64), pos.to_numpy().astype(np.int64), probe, cover.equal)
+
+
 def covers_seeded(probes: DataFrame, seqs: DataFrame, index: DataFrame, k: int, cover: Cover, *, merge: bool = True, own_group: bool = False) -> DataFrame:
     """Covers found by extending k-mer seeds: (keys, rc?, probe_id, start, end), merged or as distinct ranges.
 
     An index that is small enough is broadcast with its probes: an Arrow task cuts only the places whose k letters have a hash of
-    the index, with the letters around them as far as the longest probe reaches. Else k-mers are taken from pieces of the sequences
+    the index, with the letters around them as far as the longest probe reaches; a model with ``equal`` (as ``predicate``) lets it leave out places
+    at which no probe has so many equal letters. Else k-mers are taken from pieces of the sequences
     that know these letters, and joined by a shuffle; whole sequences are never joined. A model with ``many`` (as ``predicate``) is asked for many seeds at once.
     """
     extra = [c for c in ("rc",) if c in seqs.columns]
@@ -185,8 +197,9 @@ def covers_seeded(probes: DataFrame, seqs: DataFrame, index: DataFrame, k: int,
     on = on & (F.col("group_id") == F.col("pg")) if own_group else on
     if _small(named):
         wanted = hashes_of(named.select(F.lit(0).alias("b"), "kmer")).get(0, windows.Wanted(np.zeros(0)))
+        seeds = _seeds(named, cover) if hasattr(cover, "equal") else None
         kinds = ", ".join(f"{c} {seqs.schema[c].dataType.simpleString()}" for c in keys)
-        cut = seqs.select(*keys, "seq").mapInArrow(windows.seeding(keys, k, int(reach), wanted), f"{kinds}, i int, n int, lead int, part string")
+        cut = seqs.select(*keys, "seq").mapInArrow(windows.seeding(keys, k, int(reach), wanted, seeds), f"{kinds}, i int, n int, lead int, part string")
         rows = cut.withColumn("word", F.substring("part", F.col("lead") + 1, F.lit(k))).join(F.broadcast(named), on).withColumn("from", F.col("i"))
     else:
         cut = pieces_around(seqs.select(*keys, "seq"), int(reach))
